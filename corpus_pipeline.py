@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phraseforge.llm import decontamination, langid, packing, pii
+from phraseforge.llm import decontamination, langid, near_dedup, packing, pii
 from phraseforge.llm.queries import tokenizer_path
 from phraseforge.llm.shared import documents, materialise
 
@@ -15,6 +15,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return langid.predict(docs, model).where(f"lang_pred <> '{langid.UNKNOWN}'").select(*docs.columns)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs, 80)
+
+
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -29,6 +33,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", known_language),
+    ("near", one_of_each),
     ("benchmark", no_benchmark),
     ("personal", no_personal_data),
     ("packing", packed),

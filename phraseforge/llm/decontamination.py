@@ -40,7 +40,8 @@ UNIT_HASHES = np.array([between(prefix(TABLE[np.frombuffer(u.encode(), np.uint8)
 def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word symbols, slot flags, byte starts, byte ends, first word of each row); words of punctuation alone are left out."""
     starts, ends, _ = block.words()
-    data = block.data
+    data = block.data.copy()
+    data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20  # capitals with accents
     solid = COUNTS[data]
     kept = np.zeros(len(data) + 1, np.int64)
     np.cumsum(solid, out=kept[1:])
