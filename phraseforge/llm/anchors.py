@@ -33,7 +33,7 @@ def anchors(symbols: np.ndarray, first: np.ndarray, window: int, level: int, bas
     lengths = np.diff(first)
     left = np.repeat(first[1:], lengths) - np.arange(len(symbols))  # symbols from here to the row's end
     starts = np.flatnonzero(left[: len(place)] >= window)
-    return starts, place[starts] + starts * 0, hashes
+    return starts, place[starts], hashes
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def scatter(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
-def repeated(docs: DataFrame, symbols: Symbols, window: int, level: int, base: np.uint64, n_bytes: int, per_symbol: float) -> np.ndarray:
+def repeated(docs: DataFrame, symbols: Symbols, window: int, level: int, base: np.uint64, n_bytes: int, per_symbol: float, size: int = BLOCK) -> np.ndarray:
     """A filter that passes every anchor that occurs twice or more (and few others).
 
     Each block of texts sends an anchor once, with a sign if the block has it at several places; a bucket then holds at
@@ -58,7 +58,7 @@ def repeated(docs: DataFrame, symbols: Symbols, window: int, level: int, base: n
     n_buckets = parts_for(n_bytes * per_symbol * 8 * 2.5 / (window - level + 2), 24 << 20, 4)
 
     def send(batches):
-        for block in blocks(batches, size=BLOCK):
+        for block in blocks(batches, size=size):
             s, first = symbols(block)
             _, place, hashes = anchors(s, first, window, level, base)
             if not len(place):

@@ -31,7 +31,7 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def later_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
-    """(doc_id, starts): packed int32 places of the windows whose word sequence also starts earlier, several rows a document.
+    """(doc_id, starts): packed int32 places of the windows whose word sequence also starts earlier.
 
     A window is known by 128 bits of hash. Earlier: a smaller doc_id, or the same and an earlier place."""
     level = window // 2
@@ -74,10 +74,26 @@ def later_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=["bucket", "passed", "docs", "counts", "starts", "keys"])
 
     def answer(doc, start):
+        """Answers packed by a hash of doc_id, so that their rows are few however many windows they tell of."""
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
-        at = runs(doc)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[at[:-1]], pa.int64()), "starts": pa.array([start[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+        out = []
+        for b, i in scatter(mix(doc.astype(np.int64).view(U)), n_buckets):
+            at = runs(doc[i])
+            out.append((b, doc[i][at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), start[i].astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "docs", "counts", "starts"])
+
+    def gather(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append((np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(starts, np.int32)))
+        while held:
+            doc, start = (np.concatenate(x) for x in zip(*held.popitem()[1], strict=True))
+            order = np.argsort(doc, kind="stable")
+            doc, start = doc[order], start[order]
+            at = runs(doc)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[at[:-1]], pa.int64()), "starts": pa.array([start[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
     def meet(batches):
         held: dict[int, list] = {}
@@ -97,7 +113,8 @@ def later_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
             if again.any():
                 yield answer(doc[again], start[again])
 
-    return docs.mapInArrow(send, schema).repartition(n_buckets, "bucket").mapInArrow(meet, "doc_id long, starts binary")
+    met = docs.mapInArrow(send, schema).repartition(n_buckets, "bucket").mapInArrow(meet, "part int, docs binary, counts binary, starts binary")
+    return met.repartition(n_buckets, "part").mapInArrow(gather, "doc_id long, starts binary")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -108,7 +125,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     are told apart by nothing else, so ids must be unique; rows without one are set aside whole. Other columns are not
     read. window: an even number. An empty table gives no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = later_windows(docs.where("doc_id is not null"), window, text_bytes(docs)).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    found = later_windows(docs.where("doc_id is not null"), window, text_bytes(docs))
 
     def keep(batches):
         for batch in batches:
@@ -119,7 +136,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
                     b = begin[first[r] : first[r + 1]]
                     gone = np.zeros(len(b) + 1, np.int64)
                     if starts:
-                        at = np.concatenate([np.frombuffer(x, np.int32) for x in starts])
+                        at = np.frombuffer(starts, np.int32)
                         np.add.at(gone, at, 1)
                         np.add.at(gone, np.minimum(at + window, len(b)), -1)
                     stays = np.cumsum(gone)[:-1] == 0
