@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, langid, near_dedup, packing, pii, substring_dedup, warc
+from . import chat, decontamination, fingerprints, langid, near_dedup, packing, pii, substring_dedup, suffix_dedup, warc
 from .shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(documents(spark, sf_dir), 200).drop("kept")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), 85)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6,
     "op7_warc": op7,
     "op8_chat_format": op8,
+    "op9_suffix_dedup": op9,
     "op10_near_dedup": op10,
 }
 
