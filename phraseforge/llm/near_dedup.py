@@ -140,10 +140,12 @@ def search(members, load, near: Near, begin: np.ndarray) -> list[tuple[int, int]
     return links
 
 
-def compare(rows: DataFrame, payload: list[str], load, near: Near, limit: int, name: str) -> DataFrame:
-    """Links (node, a, b) within each node of rows (node, rep, *payload): they connect all that near() links."""
-    sizes = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1"), f"{name}-sizes")
-    parted = rows.join(sizes, "node").withColumn("chunks", F.ceil(F.col("size") / limit).cast("int"))
+def compare(pairs: DataFrame, attach, load, near: Near, limit: int, name: str) -> DataFrame:
+    """Links (node, a, b) within each node of pairs (node, rep), written: they connect all that near() links.
+
+    attach(rows) adds to rows (node, rep, ...) what load() reads; only then do rows get heavy, and they move once."""
+    sizes = materialise(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1"), f"{name}-sizes")
+    parted = pairs.join(sizes, "node").withColumn("chunks", F.ceil(F.col("size") / limit).cast("int"))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     schema = "node long, a long, b long, kind int"
 
@@ -167,13 +169,13 @@ def compare(rows: DataFrame, payload: list[str], load, near: Near, limit: int, n
 
         return run
 
-    columns = ["node", "chunk", "rep", "foreign", "pivot", "chunks", *payload]
+    columns = ["node", "chunk", "rep", "foreign", "pivot", "chunks"]
     first = parted.withColumns({"chunk": own, "foreign": F.lit(0)}).select(*columns)
     large = bool(sizes.where(F.col("size") > limit).limit(1).count())
     if large:
         pivots = parted.where("chunks > 1 and rep = pivot").withColumn("home", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> home").withColumn("foreign", F.lit(1))
         first = first.unionByName(pivots.select(*columns))
-    deal = lambda df: df.repartition("node", "chunk").sortWithinPartitions("node", "chunk")
+    deal = lambda df: attach(df).repartition("node", "chunk").sortWithinPartitions("node", "chunk")
     found = materialise(deal(first).mapInArrow(meet(False), schema), f"{name}-links")
     links = found.where("kind = 0").drop("kind")
     if large:
@@ -268,18 +270,28 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
-    likely = compare(members.join(reps, "rep"), ["n", "sketch"], load_sketches, near_sketches(percent), NODE, "nodes")
+    with_sketches = lambda rows: rows.join(reps.hint("merge"), "rep")
+    likely = compare(materialise(members, "leaves"), with_sketches, load_sketches, near_sketches(percent), NODE, "nodes")
     # documents that the links of a node connect are one group; the same group from several trees is one
-    inside = materialise(local_groups(likely), "groups")
-    wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
+    inside = materialise(local_groups(likely), "groups").withColumnRenamed("g", "node")
 
-    def to_sets(batches):
-        for block in blocks(batches):
-            sets, _ = shingle_sets(block)
-            yield pa.RecordBatch.from_arrays([block.batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """Texts move once, to meet the list of places where their sets are wanted; sets are made there."""
+        names = [c for c in rows.columns if c != "rep"]
+        wanted = rows.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct(*names)).alias("places"))
+        kinds = [rows.schema[c].dataType.simpleString() for c in names]
+
+        def to_sets(batches):
+            for block in blocks(batches):
+                sets, _ = shingle_sets(block)
+                for doc, s, places in zip(block.batch.column("doc_id").to_pylist(), sets, block.batch.column("places"), strict=True):
+                    flat = pa.RecordBatch.from_struct_array(places.values)
+                    yield pa.RecordBatch.from_arrays([*flat.columns, pa.array([doc] * len(flat), pa.int64()), pa.array([s.tobytes()] * len(flat), pa.binary())], names=[*names, "rep", "shingles"])
+
+        fields = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+        return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(to_sets, f"{fields}, rep long, shingles binary")
 
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "rep long, shingles binary")
-    return compare(inside.withColumnRenamed("g", "node").join(sets, "rep"), ["shingles"], load_sets, near_sets(percent), GROUP, "sets").select("a", "b").distinct()
+    return compare(inside, with_sets, load_sets, near_sets(percent), GROUP, "sets").select("a", "b").distinct()
 
 
 def local_groups(links: DataFrame) -> DataFrame:

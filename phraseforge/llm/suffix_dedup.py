@@ -28,11 +28,27 @@ def _bytes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return SYMBOL[block.data], block.bounds
 
 
-def shard_marks(segments: list[bytes], keys: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment: which of its windows also start in another place of these segments."""
+def comparable(segments: list[bytes], keys: list[int], offsets: list[int], length: int) -> np.ndarray:
+    """Indices of the segments that could share a window with another one.
+
+    Such two have the same anchor, and of the window's bytes beside the anchor at least half lie on one side of it: so they
+    agree in that many bytes next to the anchor, on the left or on the right."""
+    half = (length - LEVEL) // 2
+    sides: dict[tuple, list[int]] = {}
+    for i, (text, key, at) in enumerate(zip(segments, keys, offsets, strict=True)):
+        if at >= half:
+            sides.setdefault((key, 0, text[at - half : at]), []).append(i)
+        if len(text) - at - LEVEL >= half:
+            sides.setdefault((key, 1, text[at + LEVEL : at + LEVEL + half]), []).append(i)
+    return np.array(sorted({i for group in sides.values() if len(group) > 1 for i in group}), np.int64)
+
+
+def shard_marks(segments: list[bytes], keys: list[int], offsets: list[int], length: int) -> list[np.ndarray]:
+    """For each distinct segment: which of its windows also start in another of these segments.
+
+    keys: the segments' anchors; offsets: where they lie in the segments."""
     marks = [np.zeros(len(x) - length + 1, bool) for x in segments]
-    _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(size[group] > 1)  # an anchor with one distinct segment has nothing to compare
+    some = comparable(segments, keys, offsets, length)
     if not len(some):
         return marks
     own = [segments[i] for i in some]
@@ -66,7 +82,7 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             edge = runs(place)
             key = hashes[place[edge[:-1]]]
             on = np.flatnonzero(bloom.passes(key, known.value))
-            key, begin, end = key[on], at[edge[:-1][on]], at[edge[1:][on] - 1] + length
+            key, begin, end, anchor = key[on], at[edge[:-1][on]], at[edge[1:][on] - 1] + length, place[edge[:-1][on]]
             ids = np.asarray(block.batch.column("doc_id").to_numpy(zero_copy_only=False))
             rows = np.searchsorted(first, begin, "right") - 1
             raw = block.data.tobytes()
@@ -78,26 +94,26 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             out = []
             for bucket, j in scatter(key[head], n_buckets) if len(head) else ():
                 each = [i for k in j for i in places[k]]
-                out.append((bucket, key[head[j]].tobytes(), b"".join(texts[k] for k in j), np.array([len(texts[k]) for k in j], np.int32).tobytes(), np.array([len(places[k]) for k in j], np.int32).tobytes(), ids[rows[each]].astype(np.int64).tobytes(), (begin[each] - first[rows[each]]).astype(np.int32).tobytes()))
+                out.append((bucket, key[head[j]].tobytes(), (anchor - begin)[head[j]].astype(np.int32).tobytes(), b"".join(texts[k] for k in j), np.array([len(texts[k]) for k in j], np.int32).tobytes(), np.array([len(places[k]) for k in j], np.int32).tobytes(), ids[rows[each]].astype(np.int64).tobytes(), (begin[each] - first[rows[each]]).astype(np.int32).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "keys", "texts", "lengths", "times", "docs", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7), strict=True)], names=["bucket", "keys", "offsets", "texts", "lengths", "times", "docs", "starts"])
 
     def meet(batches):
         held: dict[int, dict] = {}
         for batch in batches:
-            for bucket, keys, texts, lengths, times, ids, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, keys, offsets, texts, lengths, times, ids, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard, at, k = held.setdefault(bucket, {}), 0, 0
                 where = np.stack([np.frombuffer(ids, np.int64), np.frombuffer(starts, np.int32)], 1)
-                for key, n, m in zip(np.frombuffer(keys, U).tolist(), np.frombuffer(lengths, np.int32).tolist(), np.frombuffer(times, np.int32).tolist(), strict=True):
-                    shard.setdefault(texts[at : at + n], (key, []))[1].append(where[k : k + m])
+                for key, offset, n, m in zip(np.frombuffer(keys, U).tolist(), np.frombuffer(offsets, np.int32).tolist(), np.frombuffer(lengths, np.int32).tolist(), np.frombuffer(times, np.int32).tolist(), strict=True):
+                    shard.setdefault(texts[at : at + n], (key, offset, []))[2].append(where[k : k + m])
                     at, k = at + n, k + m
         while held:
             shard = held.popitem()[1]
             texts = list(shard)
-            marks = shard_marks(texts, np.array([shard[x][0] for x in texts], U), length)
+            marks = shard_marks(texts, [shard[x][0] for x in texts], [shard[x][1] for x in texts], length)
             docs_out, spans_out = [], []
             for text, mark in zip(texts, marks, strict=True):
-                where = np.concatenate(shard[text][1])
+                where = np.concatenate(shard[text][2])
                 if len(where) > 1:
                     mark = np.ones(len(mark), bool)
                 step = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
@@ -124,7 +140,7 @@ def repeated_spans(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
             at = runs(doc)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[at[:-1]], pa.int64()), "spans": pa.array([span[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
-    sent = docs.mapInArrow(send, "bucket int, keys binary, texts binary, lengths binary, times binary, docs binary, starts binary")
+    sent = docs.mapInArrow(send, "bucket int, keys binary, offsets binary, texts binary, lengths binary, times binary, docs binary, starts binary")
     met = sent.repartition(n_buckets, "bucket").mapInArrow(meet, "part int, docs binary, spans binary")
     return met.repartition(n_buckets, "part").mapInArrow(gather, "doc_id long, spans binary")
 
