@@ -19,7 +19,7 @@ from .shared import materialise, parts_for
 
 #: symbols(block) -> (symbols, first): the rows' symbols side by side, and where each row's begin
 Symbols = Callable[[Block], tuple[np.ndarray, np.ndarray]]
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 
 
 def anchors(symbols: np.ndarray, first: np.ndarray, window: int, level: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ Level 1 looks at windows of half the length (anchors, see anchors.py): those tha
 full window around them. Level 2 extends what repeats to the full length and finds, for each window, where it starts
 first. A longer repeat is a union of full windows, so doubling ends here: no candidate is left whose removal isn't decided.
 
-Scale: texts are read twice and shuffled once, for the answer. Between, a block of texts (8 MB) sends each anchor or window
+Scale: texts are read twice and shuffled once, for the answer. Between, a block of texts (2 MB) sends each anchor or window
 once, packed by bucket; a key as common as you like is one entry for each block, and no pair is ever made.
 """
 
