@@ -22,6 +22,7 @@ from .shared import materialise
 
 END = 1
 KEPT_WORDS = 500_000
+PUNCTUATION = ".,;:!?#$%&*|)\"]}>"
 
 
 def reduce_lengths(left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -166,7 +167,14 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        out = self[word] = self.ids(word)
+        core = word.rstrip(PUNCTUATION)
+        if core != word and core.isalpha():  # letters and what follows are split by the tokenizer itself
+            out = self[core] + self[word[len(core) :]]
+        elif word.isascii() and word.isalpha() and not word.islower():
+            out = self[word.lower()]
+        else:
+            out = self.ids(word)
+        self[word] = out
         return out
 
     def document(self, text: str) -> bytes:
