@@ -82,7 +82,7 @@ def labelled_table(rows: int = 300, seed: int = 11) -> list[tuple[str, list[tupl
     for _ in range(rows):
         text, spans = "", []
         for _ in range(rng.integers(3, 9)):
-            text += " ".join(word() for _ in range(rng.integers(1, 4))) + " "
+            text += "".join(f"{word()} " for _ in range(rng.integers(0, 4)))
             kind = pick(*KINDS, "other", "other", "other", "other")
             said = make[kind]() if kind in make else other()
             if kind in make:
