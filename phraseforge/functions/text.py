@@ -88,3 +88,38 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
     lcs = F.element_at(F.aggregate(F.filter(letters_a, lambda x: x != ""), zeros, row), -1)
     return F.when((F.length(a) == 0) & (F.length(b) == 0), 100.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(200.0 * lcs / (F.length(a) + F.length(b)))
+
+
+#: Chapters with their first and last three-character code.
+CHAPTERS = (
+    ("I", "A00", "B99"), ("II", "C00", "D48"), ("III", "D50", "D89"), ("IV", "E00", "E90"), ("V", "F00", "F99"), ("VI", "G00", "G99"),
+    ("VII", "H00", "H59"), ("VIII", "H60", "H95"), ("IX", "I00", "I99"), ("X", "J00", "J99"), ("XI", "K00", "K93"), ("XII", "L00", "L99"),
+    ("XIII", "M00", "M99"), ("XIV", "N00", "N99"), ("XV", "O00", "O99"), ("XVI", "P00", "P96"), ("XVII", "Q00", "Q99"), ("XVIII", "R00", "R99"),
+    ("XIX", "S00", "T98"), ("XX", "V01", "Y98"), ("XXI", "Z00", "Z99"), ("XXII", "U00", "U99"),
+)
+
+#: Words of a label and the prefix that each gives.
+PREFIXES = (
+    ("respiratorio", "RESP"), ("cardiovascular", "CARD"), ("infeccioso", "INFEC"), ("neurológico", "NEUR"), ("gastrointestinal", "GAST"), ("renal", "REN"),
+    ("hematológico", "HEMAT"), ("endocrino", "ENDOC"), ("musculoesquelético", "MUSC"), ("dermatológico", "DERM"), ("oncológico", "ONCOL"), ("otro", "OTR"),
+)
+
+
+def chapter_roman(code: Column) -> Column:
+    """The chapter's number by letter and two digits (00 where they are no digits); Unknown for what is in none."""
+    code = F.coalesce(code, F.lit(""))
+    digits = F.regexp_extract(code, r"^.([0-9]{2})", 1)
+    key = F.concat(F.upper(F.substring(code, 1, 1)), F.when(digits == "", "00").otherwise(digits))
+    out = F.when(~code.rlike("^[A-Za-z]"), "Unknown")
+    for name, first, last in CHAPTERS:
+        out = out.when(key.between(first, last), name)
+    return out.otherwise("Unknown")
+
+
+def category_prefix(label: Column) -> Column:
+    """Prefix of the first listed word that the label contains, in lower case; OTR if none."""
+    label = F.lower(F.coalesce(label, F.lit("")))
+    out = F.when(F.lit(False), "")
+    for word, prefix in PREFIXES:
+        out = out.when(label.contains(word), prefix)
+    return out.otherwise("OTR")

@@ -28,20 +28,41 @@ def exact_cascade(phrases: DataFrame, terms: DataFrame) -> DataFrame:
     return phrases.select("phrase_id").join(best, "phrase_id", "left").select("phrase_id", F.col("b.code").alias("code"), F.coalesce(F.concat(F.lit("exact_"), F.col("b.source")), F.lit("nf")).alias("match_type"))
 
 
+def numbered(rows: DataFrame, group: str, buckets: int = 200) -> DataFrame:
+    """rows (group, key, pos) with place: from 1 within the group, by pos, then key.
+
+    Rows are cut into buckets of pos by approximate quantiles, at most `buckets` numbers on the driver, and numbered there; a
+    bucket then adds what lies before it. No task holds a whole group, and a recomputed task numbers alike."""
+    cuts = rows.agg(F.percentile_approx("pos", [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array(F.lit(0))
+    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda x: x <= F.col("pos"))))
+    sizes = rows.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # of one row a bucket
+    before = sizes.select(group, "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(group, "bucket").orderBy("pos", "key"))
+    return rows.withColumn("row", within).join(before, [group, "bucket"]).withColumn("place", F.col("before") + F.col("row")).drop("bucket", "row", "before")
+
+
+def padded(number, width: int):
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def sequential_ids(keys: DataFrame, known: DataFrame, prefix: str = "NF-") -> DataFrame:
-    """(key, number, code): new keys (key, pos) numbered by pos after the largest known number.
-
-    Keys are range-partitioned by position and numbered by partition offsets, so no task holds them all."""
-    new = keys.groupBy("key").agg(F.min("pos").alias("pos")).join(known, "key", "left_anti")
-    spread = new.repartitionByRange("pos", "key").sortWithinPartitions("pos", "key").withColumn("place", F.monotonically_increasing_id())
-    spread = spread.withColumns({"part": F.shiftright("place", 33), "row": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # of one row a partition
+    """(key, number, code): new keys (key, pos) numbered by pos after the largest known number."""
+    new = keys.groupBy("key").agg(F.min("pos").alias("pos")).join(known, "key", "left_anti").withColumn("one", F.lit(1))
     top = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("top"))
-    out = spread.join(before, "part").join(F.broadcast(top), how="cross")  # one row
-    out = out.select("key", (F.col("top") + F.col("before") + F.col("row") + 1).alias("number"))
-    digits = F.col("number").cast("string")
-    return out.withColumn("code", F.concat(F.lit(prefix), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)))
+    out = numbered(new, "one").join(F.broadcast(top), how="cross").select("key", (F.col("top") + F.col("place")).alias("number"))  # one row
+    return out.withColumn("code", F.concat(F.lit(prefix), padded(F.col("number"), 4)))
+
+
+def prefixed_ids(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, prefix, number, code `NR-prefix-001`): new keys (key, prefix, pos) numbered within their prefix, after the count of
+    known keys (key, prefix) there. A key keeps the prefix of its first pos."""
+    new = keys.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("prefix", "pos").alias("prefix")).join(known, "key", "left_anti")
+    held = known.groupBy("prefix").agg(F.count(F.lit(1)).alias("held"))
+    out = numbered(new, "prefix").join(held, "prefix", "left").select("key", "prefix", (F.coalesce("held", F.lit(0)) + F.col("place")).alias("number"))
+    return out.withColumn("code", F.concat(F.lit("NR-"), F.col("prefix"), F.lit("-"), padded(F.col("number"), 3)))
 
 
 def walk_up(nodes: DataFrame, most: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import linking, metrics, stability
+from ..operators import linking, lookup, metrics, stability
 from .ledger import LEDGER_SQL, ledger
 
 
@@ -61,6 +61,33 @@ def _new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.sequential_ids(part, known)
 
 
+def _new_prefixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, ("renal ", "cardiovascular ", "otro ", ""))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    part = table(spark, sf_dir, "part").select(F.concat(word, F.col("p_name")).alias("key"), F.col("p_partkey").alias("pos")).withColumn("prefix", t.category_prefix(F.col("key")))
+    known = part.groupBy("key").agg(F.min("pos").alias("pos"), F.min("prefix").alias("prefix")).where("pos % 7 = 0").select("key", "prefix")
+    return linking.prefixed_ids(part, known)
+
+
+def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    code = F.concat(F.chr(F.lit(65) + F.col("s_suppkey") % 22), digits(F.col("s_suppkey") % 100, 2))
+    entities = table(spark, sf_dir, "supplier").groupBy(code.alias("code")).agg(F.min("s_name").alias("title"))
+    ids = table(spark, sf_dir, "part").where("p_partkey % 12 = 0").select(F.concat(F.lit("NF-"), digits(F.col("p_partkey"), 6)).alias("code"), F.col("p_name").alias("label"))
+    return lookup.reverse_lookup(ledger(spark, sf_dir).select("case_id", "run_id", "category", "consistency"), entities, ids)
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.when(F.col("case_id") % 50 != 0, F.col("case_id").cast("string"))
+    return lookup.gate_verdicts(_looked_up(spark, sf_dir), phrase, F.col("consistency")).select("case_id", "run_id", "gate_reason", "verdict")
+
+
+def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cells, stable = ledger(spark, sf_dir), _cells(spark, sf_dir), _stable(spark, sf_dir)
+    return lookup.warnings(stability.determinism_violations(rows, stable), stable, stability.nf_churn(cells), stability.judge_variance(cells), metrics.match_type_spread(metrics.match_type_mix(rows)))
+
+
+RUNS = list(range(1, 8))  # what l_linenumber holds
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_run_counts": lambda s, d: metrics.run_counts(ledger(s, d)),
     "a2_run_measures": lambda s, d: metrics.run_measures(metrics.run_counts(ledger(s, d))).select("run_id", *metrics.MEASURES),
@@ -88,6 +115,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j18_nearest": _vectors,
     "v5_conversations": lambda s, d: linking.conversation_json(table(s, d, "conversations")),
     "f1_normalize": _normalized,
+    "f8_chapters": lambda s, d: ledger(s, d).select("case_id", "run_id", t.chapter_roman(F.col("code_complete")).alias("chapter")),
+    "w2_prefixed_ids": _new_prefixed_ids,
+    "j7_reverse_lookup": _looked_up,
+    "p5_verdict_gate": _gated,
+    "a7_source_mix": lambda s, d: lookup.source_mix(ledger(s, d)),
+    "a8_cascade_summary": lambda s, d: lookup.cascade_summary(ledger(s, d)),
+    "a9_outcomes": lambda s, d: lookup.outcome_summary(_looked_up(s, d)),
+    "a11_overall": lambda s, d: lookup.overall(_events(s, d)),
+    "t1_wide": lambda s, d: lookup.wide(_cells(s, d), "category", RUNS),
+    "k4_unstable_codes": lambda s, d: lookup.unstable_codes(_cells(s, d), _stable(s, d)),
+    "t10_warnings": _warnings,
 }
 
 L = f"WITH l AS ({LEDGER_SQL})"
@@ -161,3 +199,36 @@ SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number()
     "f1_normalize": f"""SELECT item_id, {NORM.format('text')} AS norm, CASE WHEN regexp_replace(lower(text), '[^a-z]', '', 'g') LIKE 'yes%' THEN 'yes'
   WHEN regexp_replace(lower(text), '[^a-z]', '', 'g') LIKE 'no%' THEN 'no' ELSE '' END AS verdict, concat('A', item_id) AS category FROM benchmark""",
 }
+
+LOOKED_UP = f"""{L}, ent AS (SELECT concat(chr(CAST(65 + s_suppkey % 22 AS INT)), lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0')) AS code, min(s_name) AS title FROM supplier GROUP BY 1),
+ids AS (SELECT concat('NF-', lpad(CAST(p_partkey AS VARCHAR), 6, '0')) AS code, p_name AS label FROM part WHERE p_partkey % 12 = 0),
+lk AS (SELECT case_id, run_id, category, consistency,
+  CASE WHEN coalesce(category, '') = '' THEN '' WHEN {NF} THEN concat('[NF] ', coalesce(label, 'no label')) ELSE coalesce(title, '') END AS title,
+  CASE WHEN coalesce(category, '') = '' THEN 'no_code' WHEN {NF} THEN 'nf' WHEN coalesce(title, '') <> '' THEN 'resolved' ELSE 'unresolved' END AS outcome
+  FROM l LEFT JOIN ent ON ent.code = category LEFT JOIN ids ON ids.code = category)"""
+CHAPTER_ROWS = ", ".join(map(str, t.CHAPTERS))
+PREFIX = " ".join(f"WHEN contains(lower(key), '{word}') THEN '{prefix}'" for word, prefix in t.PREFIXES)
+
+ORACLE_SQL |= {
+    "f8_chapters": f"""{L}, ch(name, first, last) AS (VALUES {CHAPTER_ROWS})
+SELECT case_id, run_id, coalesce(name, 'Unknown') AS chapter FROM (SELECT case_id, run_id, code_complete AS c,
+  concat(upper(left(code_complete, 1)), coalesce(nullif(regexp_extract(code_complete, '^.([0-9]{{2}})', 1), ''), '00')) AS k FROM l) LEFT JOIN ch ON c ~ '^[A-Za-z].*' AND k BETWEEN first AND last""",
+    "w2_prefixed_ids": f"""WITH a AS (SELECT concat(['renal ', 'cardiovascular ', 'otro ', ''][p_partkey % 4 + 1], p_name) AS key, p_partkey AS pos FROM part),
+k AS (SELECT key, min(pos) AS pos, CASE {PREFIX} ELSE 'OTR' END AS prefix FROM a GROUP BY key),
+n AS (SELECT key, prefix, row_number() OVER (PARTITION BY prefix ORDER BY pos, key) + (SELECT count(*) FROM k h WHERE h.prefix = k.prefix AND h.pos % 7 = 0) AS number FROM k WHERE pos % 7 <> 0)
+SELECT key, prefix, number, concat('NR-', prefix, '-', CASE WHEN number < 100 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END) AS code FROM n""",
+    "j7_reverse_lookup": f"{LOOKED_UP} SELECT * FROM lk",
+    "p5_verdict_gate": f"""{LOOKED_UP}, r AS (SELECT *, CASE WHEN {NF} THEN 'nf' WHEN coalesce(category, '') <> '' AND title = '' THEN 'no_title' WHEN title = '' OR case_id % 50 = 0 THEN 'nothing_to_judge' ELSE 'judged' END AS gate_reason FROM lk)
+SELECT case_id, run_id, gate_reason, CASE gate_reason WHEN 'judged' THEN coalesce(consistency, '') WHEN 'no_title' THEN 'no' ELSE '' END AS verdict FROM r""",
+    "a7_source_mix": f"{L} SELECT run_id, CASE WHEN suffix(match_type, '_complete') THEN 'complete' WHEN suffix(match_type, '_core') THEN 'core' ELSE 'none' END AS match_source, count(*) AS n FROM l GROUP BY 1, 2",
+    "a8_cascade_summary": f"{L} SELECT match_type, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM l WHERE match_type <> '' GROUP BY match_type",
+    "a9_outcomes": f"{LOOKED_UP} SELECT run_id, outcome, count(*) AS n FROM lk GROUP BY 1, 2",
+    "a11_overall": "SELECT count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_success, avg(CASE WHEN event_type <> 'error' THEN value ELSE 0 END) AS mean_ms FROM events",
+    "t1_wide": f"{CELLS} SELECT case_id, {', '.join(f'max(category) FILTER (run_id = {k}) AS run_{k}' for k in RUNS)} FROM cells GROUP BY case_id",
+    "k4_unstable_codes": f"""{STABLE} SELECT case_id, agreement_pct, string_agg(concat(coalesce(category, 'none'), '(', n, ')'), '; ' ORDER BY n DESC, f) AS all_codes
+FROM votes JOIN st USING (case_id) WHERE stability = 'unstable' GROUP BY 1, 2""",
+    "t10_warnings": f"""{STABLE}, {MIX.removeprefix(L + ", ")}, shift AS (SELECT match_type FROM mix GROUP BY match_type HAVING abs(avg(n) FILTER (run_id > 2) - avg(n) FILTER (run_id <= 2)) > 2)
+SELECT * FROM (SELECT 'exact_not_stable' AS warning, count(*) AS n FROM ({ORACLE_SQL["t5_determinism"].removeprefix(STABLE)}) UNION ALL SELECT 'nf_persistent', count(*) FROM st WHERE stability = 'NF_persistent'
+UNION ALL SELECT 'nf_churn', n_churn FROM ({ORACLE_SQL["x2_nf_churn"].removeprefix(CELLS)}) UNION ALL SELECT 'judge_variance', count(*) FROM ({ORACLE_SQL["t6_judge_variance"].removeprefix(CELLS)})
+UNION ALL SELECT 'mean_shift', count(*) FROM shift) WHERE n > 0""",
+}
