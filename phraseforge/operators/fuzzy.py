@@ -162,7 +162,8 @@ def similar(phrases: DataFrame, terms: DataFrame, scorers: list[str], threshold:
         rows = score_block(list(ours["phrase"]), block, scorers, threshold, k) if block else []
         return pd.DataFrame(list(rows), columns=["phrase", "term", "pos", "scorer", "score"])
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(score, PAIRS)
+    deal_to = lambda df: df.repartition(n_asked * n_known, "a", "b").groupBy("a", "b")  # small in bytes, so not to be merged into few tasks; noqa: E731
+    found = deal_to(left).cogroup(deal_to(right)).applyInPandas(score, PAIRS)
     order = Window.partitionBy("phrase", "scorer").orderBy(F.desc("score"), "pos")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
