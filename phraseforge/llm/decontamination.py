@@ -37,8 +37,10 @@ COUNTS, TABLE = _literal()
 UNIT_HASHES = np.array([between(prefix(TABLE[np.frombuffer(u.encode(), np.uint8)], P_BYTE), np.array([0]), np.array([len(u)]), P_BYTE)[0] for u in UNITS], U)
 
 
-def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word symbols, slot flags, byte starts, byte ends, first word of each row); words of punctuation alone are left out."""
+def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word symbols, the words' own symbols, slot flags, those of names, byte starts, byte ends, first word of each row).
+
+    Words of punctuation alone are left out."""
     starts, ends, _ = block.words()
     data = block.data.copy()
     data[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 0x20  # capitals with accents
@@ -64,42 +66,64 @@ def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     name = first_upper & (total(upper) == 1) & (b - a > 1) & ~new & ~digit
     unit = np.isin(symbols, UNIT_HASHES)
     out = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, symbols)))
-    return out, digit | unit | name, starts, ends, first
+    return out, symbols, digit | unit | name, name & ~unit, starts, ends, first
 
 
-def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarray | None = None, as_key: str = "id", as_at: str = "at", as_slots: str = "slots") -> DataFrame:
-    """(hash, id, at, slots): the template windows of each row; with `known`, those that pass that filter only.
+def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarray | None = None, lengths: list[int] | None = None, as_key: str = "id", as_at: str = "at", as_slots: str = "slots") -> DataFrame:
+    """(hash, id, at, full, slots): the windows of each row; with `known`, those that pass that filter only.
 
-    slots: the canonical fillers of the placeholders in the window, in order."""
+    slots: the canonical fillers of the placeholders in the window, in order. full: the window has LITERALS literal words or more
+    and is hashed as a template; one with fewer, names counted as literals, is hashed by its own words and has no slots. A row
+    of fewer words than the window has one window, all its words; with `lengths`, all runs of so many words, each once a row."""
     shared = None if known is None else table.sparkSession.sparkContext.broadcast(known)  # bounded: bloom.MAX_BITS
 
     def send(batches):
         for block in blocks(batches):
-            symbols, slot, starts, ends, first = canonical(block)
-            at, hashes = windows(symbols, first, window)
-            filled = np.concatenate([[0], np.cumsum(slot)])
-            on = window - (filled[at + window] - filled[at]) >= LITERALS
-            if shared is not None:
-                on &= bloom.passes(hashes, shared.value)
-            at, hashes = at[on], hashes[on]
+            symbols, own, slot, named, starts, ends, first = canonical(block)
             ids = np.asarray(block.batch.column(key).to_numpy(zero_copy_only=False))
-            rows = np.searchsorted(first, at, "right") - 1
-            word = lambda i: bytes(c for c in block.data[starts[i] : ends[i]].tobytes().lower() if COUNTS[c]).decode("utf-8", "replace")
-            slots = [[word(i) for i in range(x, x + window) if slot[i]] if filled[x + window] > filled[x] else [] for x in at]
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), as_key: pa.array(ids[rows], pa.int64()), as_at: pa.array(at - first[rows], pa.int64()), as_slots: pa.array(slots, pa.list_(pa.string()))})
-
-    return table.mapInArrow(send, f"hash long, {as_key} long, {as_at} long, {as_slots} array<string>")
+            filled, typed = (np.concatenate([[0], np.cumsum(x)]) for x in (slot, slot & ~named))
+            count = lambda sums, at: sums[at + window] - sums[at]
+            found = []
+            at, hashes = windows(symbols, first, window)
+            on = window - count(filled, at) >= LITERALS
+            found.append((at[on], hashes[on], True, True))
+            at, hashes = windows(own, first, window)
+            on = window - count(typed, at) < LITERALS
+            found.append((at[on], hashes[on], False, False))
+            if lengths is None:
+                sums = prefix(own, P_WORD)
+                few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < window))
+                found.append((first[few], between(sums, first[few], first[few + 1], P_WORD), False, False))
+            for n in lengths or ():
+                found.append((*windows(own, first, n), False, False))
+            for k, (at, hashes, full, holed) in enumerate(found):
+                if shared is not None:
+                    on = bloom.passes(hashes, shared.value)
+                    at, hashes = at[on], hashes[on]
+                rows = np.searchsorted(first, at, "right") - 1
+                if k > 1 and len(at):
+                    order = np.lexsort((at, hashes, rows))
+                    again = np.concatenate([[False], (np.diff(hashes[order]) == 0) & (np.diff(rows[order]) == 0)])
+                    at, hashes, rows = (x[order[~again]] for x in (at, hashes, rows))
+                word = lambda i: bytes(c for c in block.data[starts[i] : ends[i]].tobytes().lower() if COUNTS[c]).decode("utf-8", "replace")
+                slots = [[word(i) for i in range(x, x + window) if slot[i]] if holed and filled[x + window] > filled[x] else [] for x in at]
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), as_key: pa.array(ids[rows], pa.int64()), as_at: pa.array(at - first[rows], pa.int64()), "full": pa.array(np.full(len(at), full)), as_slots: pa.array(slots, pa.list_(pa.string()))})
+
+    return table.mapInArrow(send, f"hash long, {as_key} long, {as_at} long, full boolean, {as_slots} array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5) -> DataFrame:
-    """doc_id, item_id, n_windows, n_found, coverage, verbatim: documents that hold `least` or more of an item's templates.
+    """doc_id, item_id, n_windows, n_found, coverage, verbatim: documents that hold `least` or more of an item.
 
-    verbatim: no placeholder is filled otherwise than in the item. Null and empty texts hold nothing; items with fewer words
-    than the window have no template and are never found. Rows without an id are left out; rows that repeat an id count as
-    one text. Other columns are not read. Empty tables give no rows.
+    coverage: the greater of two shares, of the item's windows and of those that are templates (n_windows and n_found belong to
+    it). verbatim: no placeholder is filled otherwise than in the item. Windows with too few literal words for a template count
+    where their words are equal. An item with fewer words than the window is found where all its words stand in a row; one of
+    a single word is so found wherever the word is. Null and empty texts hold nothing, and texts without words are never
+    found. Rows without an id are left out; rows that repeat an id count as one text. Other columns are not read. Empty tables
+    give no rows.
 
-    The benchmark's templates make a filter of bounded size for the scan of the documents; what passes, a small part, is
-    joined by hash. A template in a third of all documents is one build row for each item that has it."""
+    The benchmark's windows make a filter of bounded size for the scan of the documents; what passes, a small part, is
+    joined by hash. A window in a third of all documents is one build row for each item that has it."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     asked = templates(items, "item_id", window, as_key="item_id", as_at="item_at", as_slots="item_slots").persist()
@@ -108,18 +132,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"keys": pa.array([batch.column("hash").to_numpy().tobytes()], pa.binary())})
 
+    def count(batches):
+        for block in blocks(batches):
+            n = np.unique(np.diff(canonical(block)[-1]))
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n[(n > 0) & (n < window)], pa.int64())})
+
     n = asked.count()
+    lengths = [r.n for r in items.mapInArrow(count, "n long").distinct().collect()]  # window - 1 at most
     known = bloom.build(asked.select("hash").mapInArrow(pack, "keys binary"), bloom.bits_for(n))
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    met = templates(docs, "doc_id", window, known, "doc_id", "doc_at", "doc_slots").join(asked, "hash")
+    sizes = asked.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("n_full"))
+    met = templates(docs, "doc_id", window, known, lengths, "doc_id", "doc_at", "doc_slots").drop("full").join(asked, "hash")
     met = met.withColumn("shift", F.col("doc_at") - F.col("item_at"))
     line = ["doc_id", "item_id", "shift"]
     pairs = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p")).select(*line, "p.item_slots", "p.doc_slots").distinct()
     odd = pairs.groupBy(*line, "item_slots").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("item_slots") != F.col("doc_slots")).alias("other"))
     odd = odd.groupBy(*line).agg(F.max("n").alias("n"), F.max("other").alias("other"))
-    spots = met.groupBy(*line, "item_at").agg(F.lit(1).alias("one")).drop("one").join(odd, line, "left").where("coalesce(n, 1) = 1")
-    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_found"), (~F.coalesce(F.max("other"), F.lit(False))).alias("verbatim"))
-    out = spots.join(sizes, "item_id").withColumn("coverage", F.col("n_found") / F.col("n_windows"))
+    spots = met.groupBy(*line, "item_at").agg(F.max("full").alias("full"), F.max(F.size("item_slots") > 0).alias("holed")).join(odd, line, "left").where("coalesce(n, 1) = 1 or not holed")
+    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("of_full"), (~F.coalesce(F.max("other"), F.lit(False))).alias("verbatim"))
+    out = spots.join(sizes, "item_id").withColumn("by_full", F.coalesce(F.col("of_full") / F.nullif("n_full", F.lit(0)) > F.col("all") / F.col("n_all"), F.lit(False)))
+    out = out.withColumns({"n_windows": F.when(F.col("by_full"), F.col("n_full")).otherwise(F.col("n_all")), "n_found": F.when(F.col("by_full"), F.col("of_full")).otherwise(F.col("all"))})
+    out = out.withColumn("coverage", F.col("n_found") / F.col("n_windows"))
     return out.where(F.col("coverage") >= least).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "verbatim")
 
 

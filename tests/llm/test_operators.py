@@ -189,6 +189,20 @@ def test_decontamination(spark):
     assert {(1, True), (2, False)} <= got and not {d for d, _ in got} & {3, 4, 5}
 
 
+def leaks(spark, docs, items):
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r for r in found.collect()}
+
+
+def test_decontamination_without_templates(spark):
+    short, sums = "What is the capital of France?", " ".join(f"{k} kg {k + 1}" for k in range(10, 30))
+    mixed = "so many of them are here and then at last " + " ".join(str(k) for k in range(500, 560))
+    docs = [(1, f"{prose(9)} {short.lower()} {prose(9)} {short}"), (2, f"{prose(9)} {sums}"), (3, "What is the capital of Spain?"), (4, sums.replace("kg", "m").replace("1", "7")), (5, short.upper()), (6, f"x {mixed} y"), (7, prose(50))]
+    got = leaks(spark, docs, [(1, short), (2, sums), (3, mixed), (4, "?!"), (5, "")])
+    assert set(got) == {(1, 1), (5, 1), (2, 2), (6, 3)}
+    assert all(r.verbatim and r.coverage == 1 for r in got.values())
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b\n", "x" * 1200), (2, None, "x" * 1200), (3, "u", None), (4, "u", "é" * 600), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", "x" * 1200), (None, "u", "x" * 1200)]
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
