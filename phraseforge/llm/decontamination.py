@@ -2,8 +2,8 @@
 
 Words lose case and punctuation; numbers, names and units become typed placeholders. Windows of such words are templates, and
 documents meet benchmark items by a hash join on them. Along one alignment of a document and an item, the fillers of equal slots
-must be consistent: an item's filler always has the same filler in the document. That is so for copies and for re-parameterised
-questions, and not for texts that only share phrases.
+should be consistent: an item's filler always has the same filler in the document. That is so for copies and for re-parameterised
+questions, and not for texts that only share phrases. Windows that hold a contradiction don't count (agreeing() has the rules).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .hashing import P_BYTE, P_WORD, SPACE, SYMBOL, U, Block, between, blocks, m
 WINDOW = 8
 #: A window with fewer literal words than this says too little.
 LITERALS = 4
+#: Words in a row that are enough, on an alignment whose equal slots are filled in contradiction.
+LONG_RUN = 26
 #: Fixed list: units of measure and money, as canonical words.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent dollars euros usd eur kmh mph meters metres kilometers miles grams kilograms pounds liters litres degrees".split()
 NUMBER, NAME, UNIT = (mix(np.array([k], U))[0] for k in (0xA11CE, 0xB0B, 0xCAFE))
@@ -112,6 +114,36 @@ def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarra
     return table.mapInArrow(send, f"hash long, {as_key} long, {as_at} long, full boolean, {as_slots} array<string>")
 
 
+def longest(places: list[int], window: int) -> int:
+    """Words in a row that windows at these ascending places cover."""
+    best = run = 0
+    for k, x in enumerate(places):
+        run = run + 1 if k and x == places[k - 1] + 1 else 1
+        best = max(best, run)
+    return best + window - 1 if best else 0
+
+
+def agreeing(met: list[dict], window: int) -> list[tuple[int, bool, bool]]:
+    """(item_at, full, same) of the windows that count, of one alignment's (item_at, full, item_slots, doc_slots).
+
+    same: all fillers on the alignment are the item's. A filler of the item with several fillers in the document contradicts
+    itself, and windows that hold it count only where they have the item's own. If the item's own filler is among them, the document keeps it in one
+    place and changes it in another: then nothing counts, unless the rest covers LONG_RUN words in a row."""
+    fills: dict[str, set[str]] = {}
+    for w in met:
+        for x, y in zip(w["item_slots"], w["doc_slots"], strict=True):
+            fills.setdefault(x, set()).add(y)
+    clash = {x for x, y in fills.items() if len(y) > 1}
+    spots = {}
+    for w in met:
+        if w["item_slots"] == w["doc_slots"] or not clash.intersection(w["item_slots"]):
+            spots[w["item_at"]] = w["full"] or spots.get(w["item_at"], False)
+    if any(x in fills[x] for x in clash) and longest(sorted(spots), window) < LONG_RUN:
+        return []
+    same = all(y == {x} for x, y in fills.items())
+    return [(at, full, same) for at, full in spots.items()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5) -> DataFrame:
     """doc_id, item_id, n_windows, n_found, coverage, verbatim: documents that hold `least` or more of an item.
 
@@ -144,11 +176,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     met = templates(docs, "doc_id", window, known, lengths, "doc_id", "doc_at", "doc_slots").drop("full").join(asked, "hash")
     met = met.withColumn("shift", F.col("doc_at") - F.col("item_at"))
     line = ["doc_id", "item_id", "shift"]
-    pairs = met.select(*line, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("p")).select(*line, "p.item_slots", "p.doc_slots").distinct()
-    odd = pairs.groupBy(*line, "item_slots").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("item_slots") != F.col("doc_slots")).alias("other"))
-    odd = odd.groupBy(*line).agg(F.max("n").alias("n"), F.max("other").alias("other"))
-    spots = met.groupBy(*line, "item_at").agg(F.max("full").alias("full"), F.max(F.size("item_slots") > 0).alias("holed")).join(odd, line, "left").where("coalesce(n, 1) = 1 or not holed")
-    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("of_full"), (~F.coalesce(F.max("other"), F.lit(False))).alias("verbatim"))
+    lines = met.groupBy(*line).agg(F.collect_list(F.struct("item_at", "full", "item_slots", "doc_slots")).alias("met"))  # an item's windows at most
+
+    def judge(batches):
+        for batch in batches:
+            out = []
+            for doc, item, windows_met in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("met"), strict=True):
+                out += [(doc, item, *spot) for spot in agreeing(windows_met.as_py(), window)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "item_at", "full", "same"])
+
+    spots = lines.select("doc_id", "item_id", "met").mapInArrow(judge, "doc_id long, item_id long, item_at long, full boolean, same boolean")
+    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("of_full"), F.min("same").alias("verbatim"))
     out = spots.join(sizes, "item_id").withColumn("by_full", F.coalesce(F.col("of_full") / F.nullif("n_full", F.lit(0)) > F.col("all") / F.col("n_all"), F.lit(False)))
     out = out.withColumns({"n_windows": F.when(F.col("by_full"), F.col("n_full")).otherwise(F.col("n_all")), "n_found": F.when(F.col("by_full"), F.col("of_full")).otherwise(F.col("all"))})
     out = out.withColumn("coverage", F.col("n_found") / F.col("n_windows"))

@@ -203,6 +203,15 @@ def test_decontamination_without_templates(spark):
     assert all(r.verbatim and r.coverage == 1 for r in got.values())
 
 
+def test_decontamination_contradictions(spark):
+    long = "when all of the boxes are packed with 3 books each then the whole load is carried by two men over the bridge and back again to the house where they live and the rest of it is then left behind for 3 hours in the open yard"
+    twice = "for 3 boxes here how long does it take when each one of them is then kept warm in the oven until it is done after 3 hours"
+    docs = [(1, long.replace("3 hours", "4 hours")), (2, twice.replace("3 boxes", "5 boxes").replace("3 hours", "7 hours")), (3, twice.replace("3 hours", "4 hours"))]
+    got = leaks(spark, docs, [(1, long), (2, twice)])
+    assert set(got) == {(1, 1), (2, 2), (3, 2)}
+    assert not any(r.verbatim for r in got.values()) and got[1, 1].n_found < got[1, 1].n_windows
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b\n", "x" * 1200), (2, None, "x" * 1200), (3, "u", None), (4, "u", "é" * 600), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", "x" * 1200), (None, "u", "x" * 1200)]
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
