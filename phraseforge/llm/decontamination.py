@@ -75,7 +75,8 @@ def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarra
     """(hash, id, at, full, slots): the windows of each row; with `known`, those that pass that filter only.
 
     slots: the canonical fillers of the placeholders in the window, in order. full: the window has LITERALS literal words or more
-    and is hashed as a template; one with fewer, names counted as literals, is hashed by its own words and has no slots. A row
+    and is hashed as a template; one with fewer, names counted as literals, is hashed by its own words and has no slots. One with
+    names is hashed a second time with the names as literals: what is a name hangs on case and line breaks. A row
     of fewer words than the window has one window, all its words; with `lengths`, all runs of so many words, each once a row."""
     shared = None if known is None else table.sparkSession.sparkContext.broadcast(known)  # bounded: bloom.MAX_BITS
 
@@ -88,28 +89,34 @@ def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarra
             found = []
             at, hashes = windows(symbols, first, window)
             on = window - count(filled, at) >= LITERALS
-            found.append((at[on], hashes[on], True, True))
+            found.append((at[on], hashes[on], True, slot))
+            blind = np.where(named, own, symbols)
+            at, hashes = windows(blind, first, window)
+            on = (window - count(typed, at) >= LITERALS) & (count(filled, at) > count(typed, at))
+            found.append((at[on], hashes[on], window - count(filled, at[on]) >= LITERALS, slot & ~named))
             at, hashes = windows(own, first, window)
             on = window - count(typed, at) < LITERALS
-            found.append((at[on], hashes[on], False, False))
+            found.append((at[on], hashes[on], False, None))
             if lengths is None:
                 sums = prefix(own, P_WORD)
                 few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < window))
-                found.append((first[few], between(sums, first[few], first[few + 1], P_WORD), False, False))
+                found.append((first[few], between(sums, first[few], first[few + 1], P_WORD), False, None))
             for n in lengths or ():
-                found.append((*windows(own, first, n), False, False))
-            for k, (at, hashes, full, holed) in enumerate(found):
+                found.append((*windows(own, first, n), False, None))
+            for k, (at, hashes, full, holes) in enumerate(found):
+                full = np.broadcast_to(full, len(at))
                 if shared is not None:
                     on = bloom.passes(hashes, shared.value)
-                    at, hashes = at[on], hashes[on]
+                    at, hashes, full = at[on], hashes[on], full[on]
                 rows = np.searchsorted(first, at, "right") - 1
-                if k > 1 and len(at):
+                if k > 2 and len(at):
                     order = np.lexsort((at, hashes, rows))
                     again = np.concatenate([[False], (np.diff(hashes[order]) == 0) & (np.diff(rows[order]) == 0)])
                     at, hashes, rows = (x[order[~again]] for x in (at, hashes, rows))
+                    full = full[: len(at)]
                 word = lambda i: bytes(c for c in block.data[starts[i] : ends[i]].tobytes().lower() if COUNTS[c]).decode("utf-8", "replace")
-                slots = [[word(i) for i in range(x, x + window) if slot[i]] if holed and filled[x + window] > filled[x] else [] for x in at]
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), as_key: pa.array(ids[rows], pa.int64()), as_at: pa.array(at - first[rows], pa.int64()), "full": pa.array(np.full(len(at), full)), as_slots: pa.array(slots, pa.list_(pa.string()))})
+                slots = [[word(i) for i in range(x, x + window) if holes[i]] if holes is not None and filled[x + window] > filled[x] else [] for x in at]
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), as_key: pa.array(ids[rows], pa.int64()), as_at: pa.array(at - first[rows], pa.int64()), "full": pa.array(full, pa.bool_()), as_slots: pa.array(slots, pa.list_(pa.string()))})
 
     return table.mapInArrow(send, f"hash long, {as_key} long, {as_at} long, full boolean, {as_slots} array<string>")
 

@@ -212,6 +212,16 @@ def test_decontamination_contradictions(spark):
     assert not any(r.verbatim for r in got.values()) and got[1, 1].n_found < got[1, 1].n_windows
 
 
+def test_decontamination_case(spark):
+    item = "on the way to the old town of Paris the two men met Clara and her mother Berta who asked them whether the road to Lyon was still so bad"
+    words = item.split()
+    wrapped = "\n".join(" ".join(words[k : k + 8]) for k in range(0, len(words), 8)).replace("met Clara", "met\nClara")
+    docs = [(1, item.upper()), (2, item.lower()), (3, wrapped), (4, item.title()), (5, item.replace("Clara", "Emma").replace("Berta", "Nora").replace("Paris", "Rome").replace("Lyon", "Turin")), (6, prose(60))]
+    got = leaks(spark, docs, [(1, item), (2, item.title())])
+    assert set(got) == {(d, i) for d in (1, 2, 3, 4) for i in (1, 2)} | {(5, 1)}
+    assert all(got[d, i].verbatim and got[d, i].coverage == 1 for d in (1, 2, 3, 4) for i in (1, 2)) and not got[5, 1].verbatim
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b\n", "x" * 1200), (2, None, "x" * 1200), (3, "u", None), (4, "u", "é" * 600), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", "x" * 1200), (None, "u", "x" * 1200)]
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
