@@ -19,7 +19,9 @@ from .hashing import P_BYTE, P_WORD, SPACE, SYMBOL, U, Block, between, blocks, m
 WINDOW = 8
 #: A window with fewer literal words than this says too little.
 LITERALS = 4
-#: Words in a row that are enough, on an alignment whose equal slots are filled in contradiction.
+#: Words in a row that are a leak whatever the item's length: word for word, and as templates or on an alignment whose equal slots
+#: are filled in contradiction.
+RUN = 13
 LONG_RUN = 26
 #: Fixed list: units of measure and money, as canonical words.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours minutes seconds days weeks months years percent dollars euros usd eur kmh mph meters metres kilometers miles grams kilograms pounds liters litres degrees".split()
@@ -130,12 +132,14 @@ def longest(places: list[int], window: int) -> int:
     return best + window - 1 if best else 0
 
 
-def agreeing(met: list[dict], window: int) -> list[tuple[int, bool, bool]]:
-    """(item_at, full, same) of the windows that count, of one alignment's (item_at, full, item_slots, doc_slots).
+def agreeing(met: list[dict], window: int) -> list[tuple[int, bool, bool, bool]]:
+    """(item_at, full, same, held) of the windows that count, of one alignment's (item_at, full, item_slots, doc_slots).
 
     same: all fillers on the alignment are the item's. A filler of the item with several fillers in the document contradicts
     itself, and windows that hold it count only where they have the item's own. If the item's own filler is among them, the document keeps it in one
-    place and changes it in another: then nothing counts, unless the rest covers LONG_RUN words in a row."""
+    place and changes it in another: then nothing counts, unless the rest covers LONG_RUN words in a row.
+
+    held: the windows that count cover LONG_RUN words in a row, or those with the item's own fillers RUN."""
     fills: dict[str, set[str]] = {}
     for w in met:
         for x, y in zip(w["item_slots"], w["doc_slots"], strict=True):
@@ -145,16 +149,19 @@ def agreeing(met: list[dict], window: int) -> list[tuple[int, bool, bool]]:
     for w in met:
         if w["item_slots"] == w["doc_slots"] or not clash.intersection(w["item_slots"]):
             spots[w["item_at"]] = w["full"] or spots.get(w["item_at"], False)
-    if any(x in fills[x] for x in clash) and longest(sorted(spots), window) < LONG_RUN:
+    held = longest(sorted(spots), window) >= LONG_RUN
+    if any(x in fills[x] for x in clash) and not held:
         return []
+    held = held or longest(sorted({w["item_at"] for w in met if w["item_slots"] == w["doc_slots"]}), window) >= RUN
     same = all(y == {x} for x, y in fills.items())
-    return [(at, full, same) for at, full in spots.items()]
+    return [(at, full, same, held) for at, full in spots.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5) -> DataFrame:
-    """doc_id, item_id, n_windows, n_found, coverage, verbatim: documents that hold `least` or more of an item.
+    """doc_id, item_id, n_windows, n_found, coverage, verbatim: documents that hold `least` or more of an item, or a long run of it.
 
-    coverage: the greater of two shares, of the item's windows and of those that are templates (n_windows and n_found belong to
+    A run of RUN words on one alignment is long if it is word for word, one of LONG_RUN if it is a template; so the length of the
+    item doesn't matter. coverage: the greater of two shares, of the item's windows and of those that are templates (n_windows and n_found belong to
     it). verbatim: no placeholder is filled otherwise than in the item. Windows with too few literal words for a template count
     where their words are equal. An item with fewer words than the window is found where all its words stand in a row; one of
     a single word is so found wherever the word is. Null and empty texts hold nothing, and texts without words are never
@@ -190,14 +197,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
             out = []
             for doc, item, windows_met in zip(batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(), batch.column("met"), strict=True):
                 out += [(doc, item, *spot) for spot in agreeing(windows_met.as_py(), window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "item_at", "full", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "item_at", "full", "same", "held"])
 
-    spots = lines.select("doc_id", "item_id", "met").mapInArrow(judge, "doc_id long, item_id long, item_at long, full boolean, same boolean")
-    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("of_full"), F.min("same").alias("verbatim"))
+    spots = lines.select("doc_id", "item_id", "met").mapInArrow(judge, "doc_id long, item_id long, item_at long, full boolean, same boolean, held boolean")
+    spots = spots.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("all"), F.countDistinct(F.when(F.col("full"), F.col("item_at"))).alias("of_full"), F.min("same").alias("verbatim"), F.max("held").alias("held"))
     out = spots.join(sizes, "item_id").withColumn("by_full", F.coalesce(F.col("of_full") / F.nullif("n_full", F.lit(0)) > F.col("all") / F.col("n_all"), F.lit(False)))
     out = out.withColumns({"n_windows": F.when(F.col("by_full"), F.col("n_full")).otherwise(F.col("n_all")), "n_found": F.when(F.col("by_full"), F.col("of_full")).otherwise(F.col("all"))})
     out = out.withColumn("coverage", F.col("n_found") / F.col("n_windows"))
-    return out.where(F.col("coverage") >= least).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "verbatim")
+    return out.where((F.col("coverage") >= least) | F.col("held")).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5) -> DataFrame:

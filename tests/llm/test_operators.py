@@ -222,6 +222,17 @@ def test_decontamination_case(spark):
     assert all(got[d, i].verbatim and got[d, i].coverage == 1 for d in (1, 2, 3, 4) for i in (1, 2)) and not got[5, 1].verbatim
 
 
+def test_decontamination_long_items(spark):
+    words = [f"w{''.join(rng.choice('abcdefgh') for _ in range(7))}" for _ in range(300)]
+    words[100:300:10] = [str(k) for k in range(500, 520)]
+    other = [str(int(w) + 77) if w.isdigit() else w for w in words]
+    cut = lambda x, a, n: f"{prose(9)} {' '.join(x[a : a + n])} {prose(9)}"
+    docs = [(1, cut(words, 60, 130)), (2, cut(words, 20, 13)), (3, cut(words, 20, 12)), (4, cut(other, 150, 26)), (5, cut(other, 151, 20)), (6, cut(words, 100, 13)), (7, prose(90))]
+    got = leaks(spark, docs, [(1, " ".join(words))])
+    assert {d for d, _ in got} == {1, 2, 4, 6}
+    assert all(r.coverage < 0.5 for r in got.values()) and not got[4, 1].verbatim
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b\n", "x" * 1200), (2, None, "x" * 1200), (3, "u", None), (4, "u", "é" * 600), (5, "u", "y" * 999), (6, "u", "y" * 999), (9, "u", "x" * 1200), (None, "u", "x" * 1200)]
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
