@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import re
 import zlib
+from array import array
 from itertools import count as counter
 
 import numpy as np
@@ -22,7 +25,11 @@ from .shared import materialise
 
 END = 1
 KEPT_WORDS = 500_000
-PUNCTUATION = ".,;:!?#$%&*|)\"]}>"
+#: Fixed value: how tokenizers of the CLIP family cut text.
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters that NFC keeps whatever stands beside them, and whose lower case is one letter: ASCII and the precomposed Latin letters.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+").findall
 
 
 def reduce_lengths(left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -154,33 +161,43 @@ def segments(plan: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 
 class _Words(dict):
-    """Token ids (little-endian uint32 bytes) of a run of text without white space, encoded when first met."""
+    """Token ids (little-endian uint32 bytes) of a run of text without white space, encoded when first met.
+
+    A tokenizer of the CLIP family (checked by its own description) normalises to NFC and lower case and cuts words into runs of letters, single
+    digits and runs of other characters before it merges bytes. Words of PLAIN characters normalise character by character and are so cut here,
+    so that each run of letters is merged once; all other words are encoded by the tokenizer itself, and texts whole if it is of another kind."""
 
     def __init__(self, path: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        cuts = [(x.get("type"), x.get("pattern")) for x in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = said["normalizer"] is not None and [x["type"] for x in said["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and cuts == [("Split", {"Regex": CUT}), ("ByteLevel", None)] and said["model"]["type"] == "BPE" and all("<|" in x["content"] for x in said["added_tokens"])
+        self.model, self.level = self.tokenizer.model, tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        core = word.rstrip(PUNCTUATION)
-        if core != word and core.isalpha():  # letters and what follows are split by the tokenizer itself
-            out = self[core] + self[word[len(core) :]]
-        elif word.isascii() and word.isalpha() and not word.islower():
-            out = self[word.lower()]
-        else:
+        if "'" in word or "<|" in word or not PLAIN(word):
             out = self.ids(word)
+        else:
+            runs = RUNS(word.lower())
+            if len(runs) > 1 or runs[0] != word:
+                out = b"".join([self[x] for x in runs])
+            else:
+                said = word if word.isascii() else self.level.pre_tokenize_str(word)[0][0]
+                out = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
         self[word] = out
         return out
 
     def document(self, text: str) -> bytes:
-        """This tokenizer never joins what white space parts, so words are encoded once each. Texts with characters that
+        """Such a tokenizer never joins what white space parts, so words are encoded once each. Texts with characters that
         split() alone takes for white space are encoded whole."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.ids(text)
         return b"".join([self[w] for w in text.split()])
 
