@@ -1,25 +1,14 @@
 """Anchors of windows: the first, cheap level of the operators that look for repeated passages.
 
 Each window of `window` symbols has one anchor: the run of `level` symbols in it with the least hash. Equal windows have
-equal anchors at equal places, so a window can only repeat if its anchor does. Level 1 finds the anchors that occur at
-two places or more anywhere in the corpus; only windows on such anchors go on.
+equal anchors at equal places, so a window can only repeat if its anchor does. So the first level looks at anchors alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from . import bloom
-from .hashing import U, Block, between, blocks, prefix, sliding_least
-from .shared import materialise, parts_for
 
-#: symbols(block) -> (symbols, first): the rows' symbols side by side, and where each row's begin
-Symbols = Callable[[Block], tuple[np.ndarray, np.ndarray]]
-BLOCK = 2 << 20
+from .hashing import U, between, prefix, sliding_least
 
 
 def anchors(symbols: np.ndarray, first: np.ndarray, window: int, level: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,55 +23,3 @@ def anchors(symbols: np.ndarray, first: np.ndarray, window: int, level: int, bas
     left = np.repeat(first[1:], lengths) - np.arange(len(symbols))  # symbols from here to the row's end
     starts = np.flatnonzero(left[: len(place)] >= window)
     return starts, place[starts], hashes
-
-
-def runs(values: np.ndarray) -> np.ndarray:
-    """Where a run of equal values begins, and the end."""
-    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
-
-
-def scatter(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, indices of its keys), by the keys' upper bits."""
-    bucket = ((keys >> U(32)) % U(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        yield int(b), order[cuts[b] : cuts[b + 1]]
-
-
-def repeated(docs: DataFrame, symbols: Symbols, window: int, level: int, base: np.uint64, n_bytes: int, per_symbol: float, size: int = BLOCK) -> np.ndarray:
-    """A filter that passes every anchor that occurs twice or more (and few others).
-
-    Each block of texts sends an anchor once, with a sign if the block has it at several places; a bucket then holds at
-    most one entry for each block and anchor, however common the anchor is."""
-    n_buckets = parts_for(n_bytes * per_symbol * 8 * 2.5 / (window - level + 2), 24 << 20, 4)
-
-    def send(batches):
-        for block in blocks(batches, size=size):
-            s, first = symbols(block)
-            _, place, hashes = anchors(s, first, window, level, base)
-            if not len(place):
-                continue
-            seen, times = np.unique(hashes[np.unique(place)], return_counts=True)
-            out = [(b, seen[i].tobytes(), np.packbits(times[i] > 1).tobytes()) for b, i in scatter(seen, n_buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "keys", "many"])
-
-    def meet(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, keys, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = np.frombuffer(keys, U)
-                held.setdefault(b, []).append((k, np.unpackbits(np.frombuffer(many, np.uint8), count=len(k)).astype(bool)))
-        for got in held.values():
-            keys, many = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, many = keys[order], many[order]
-            again = np.zeros(len(keys), bool)
-            again[1:] = keys[1:] == keys[:-1]
-            again = np.unique(keys[again | many])
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(again)], pa.int64()), "keys": pa.array([again.tobytes()], pa.binary())})
-
-    sent = docs.mapInArrow(send, "bucket int, keys binary, many binary")
-    found = materialise(sent.repartition(n_buckets, "bucket").mapInArrow(meet, "n long, keys binary"), "anchors")
-    n = found.agg({"n": "sum"}).first()[0] or 0
-    return bloom.build(found, bloom.bits_for(n))

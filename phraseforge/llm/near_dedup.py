@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import P_WORD, U, between, blocks, mix, prefix, windows, word_hashes
+from .hashing import U, blocks, mix, sequence_hashes, windows, word_hashes
 from .shared import materialise
 
 SHINGLE = 5
@@ -34,13 +34,13 @@ with np.errstate(over="ignore"):
 
 
 def shingle_sets(block, words: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sorted distinct shingle hashes of each row, two hashes of each row's word sequence). A-Z count as a-z."""
+    """(sorted distinct shingle hashes of each row, two independent hashes of each row's word sequence). A-Z count as a-z."""
     symbols, _, _, first = word_hashes(block, lower=True)
     at, hashes = windows(symbols, first, words)
     cuts = np.searchsorted(at, first)
     n = np.diff(first)
-    whole = between(prefix(symbols, P_WORD), first[:-1], first[1:], P_WORD)
-    second = between(prefix(mix(symbols + U(1)), P_WORD), first[:-1], first[1:], P_WORD)
+    whole = sequence_hashes(symbols, first)
+    second = sequence_hashes(word_hashes(block, lower=True, seed=1)[0], first, 1)
     sets = [np.unique(hashes[cuts[r] : cuts[r + 1]]) if n[r] >= words else whole[r : r + 1] if n[r] else np.zeros(0, U) for r in range(len(n))]
     return sets, np.stack([whole, second], 1)
 

@@ -1,11 +1,11 @@
 """Substring dedup by level-wise doubling over word windows.
 
-Level 1 looks at windows of half the length (anchors, see anchors.py): those that occur once are out, and with them every
-full window around them. Level 2 extends what repeats to the full length and finds, for each window, where it starts
-first. A longer repeat is a union of full windows, so doubling ends here: no candidate is left whose removal isn't decided.
+Level 1 looks at windows of a quarter of the length: those that occur once are out. What is repeated there, and only that, is extended to
+twice the length, and again to the full one; a full window goes on while the shorter ones in it do. The first two levels look at
+anchors (anchors.py), windows that equal full windows choose alike, and at extensions that contain them. The last level finds, for
+each window that is left, where it starts first. A longer repeat is a union of full windows, so no candidate is left after it.
 
-Scale: texts are read twice and shuffled once, for the answer. Between, a block of texts (2 MB) sends each anchor or window
-once, packed by bucket; a key as common as you like is one entry for each block, and no pair is ever made.
+Scale: texts are packed once and never shuffled; each level moves keys and places (exchange.py), and no pair is ever made.
 """
 
 from __future__ import annotations
@@ -17,134 +17,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
-from .anchors import BLOCK, anchors, repeated, runs, scatter
-from .hashing import P_WORD, U, Block, between, blocks, mix, prefix, word_hashes
-from .shared import parts_for, text_bytes
+from .anchors import anchors
+from .exchange import ANSWERS, SEND, Packed, Texts, answer, expand, gathered, met_again, pack_texts, read, rows_of, runs, scatter, squeeze
+from .hashing import P_WORD, U, between, prefix, word_hashes
+from .shared import parts_for
 
 P_SECOND = U(0xC2B2AE3D27D4EB4F)
 
 
-def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    hashes, _, _, first = word_hashes(block)
-    return hashes, first
+def starts_of(texts: Texts, symbols: np.ndarray, first: np.ndarray, window: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of the rows that have a doc_id."""
+    at, place, hashes = anchors(symbols, first, window, level, P_WORD)
+    on = np.repeat(texts.known, np.diff(first))[at]
+    return at[on], place[on], hashes
 
 
-def later_windows(docs: DataFrame, window: int, n_bytes: int) -> DataFrame:
-    """(doc_id, starts): packed int32 places of the windows whose word sequence also starts earlier.
+def extension(at: np.ndarray, place: np.ndarray, window: int, level: int, longer: int) -> np.ndarray:
+    """Where the run of `longer` words begins that holds the anchor and lies in the window: to the anchor's right if it fits there."""
+    return np.where(place - at <= window - longer, place, place + level - longer)
 
-    A window is known by 128 bits of hash. Earlier: a smaller doc_id, or the same and an earlier place."""
-    level = window // 2
-    known = docs.sparkSession.sparkContext.broadcast(repeated(docs, _words, window, level, P_WORD, n_bytes, 1 / 5.5))  # bounded: MAX_BITS
-    n_buckets = parts_for(n_bytes, 24 << 20, 4)
-    schema = "bucket int, passed boolean, docs binary, counts binary, starts binary, keys binary"
 
-    def row(bucket, passed, ids, starts, keys):
-        """Entries sorted by (doc, start), packed by document."""
-        at = runs(ids)
-        return bucket, passed, ids[at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), starts.astype(np.int32).tobytes(), keys.tobytes()
+def later_windows(packed: Packed, window: int) -> DataFrame:
+    """(block, places) of the windows whose word sequence also starts earlier: in a smaller doc_id, or the same one and further up.
+
+    A window is known by 96 bits of hash."""
+    quarter, half = window // 4, window // 2
+    parts = packed.parts
+    n_buckets = lambda symbols: parts_for(packed.n_bytes / 5.5 * symbols, 24 << 20, 4)
+
+    def by_quarter(texts: Texts):
+        symbols, _, _, first = word_hashes(texts.block)
+        _, place, hashes = starts_of(texts, symbols, first, window, quarter)
+        place = np.unique(place)
+        return place, hashes[place]
+
+    def survivors(texts: Texts, symbols, first, level):
+        at, place, _ = starts_of(texts, symbols, first, window, quarter)
+        on = np.zeros(len(symbols) + 1, bool)
+        on[texts.places] = True
+        to = place if level == quarter else extension(at, place, window, quarter, level)
+        return at[on[to]], place[on[to]]
+
+    def by_half(texts: Texts):
+        symbols, _, _, first = word_hashes(texts.block)
+        begin = np.unique(extension(*survivors(texts, symbols, first, quarter), window, quarter, half))
+        return begin, between(prefix(symbols, P_WORD), begin, begin + half, P_WORD)
+
+    found = met_again(packed, None, by_quarter, n_buckets(12 * 2 / (window - quarter + 2)))
+    found = met_again(packed, found, by_half, n_buckets(12 * 2 / (window - quarter + 2)))
+    last = n_buckets(16)
+    names, kinds = ["bucket", "decided", "blocks", "docs", "places", "keys"], [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+    key_kind = np.dtype([("a", U), ("b", np.uint32)])
+
+    def ordered(block, doc, place, keys):
+        """Entries by key, then by place in the corpus, and whether an entry has an earlier one."""
+        order = np.lexsort((place, block, doc, keys["b"], keys["a"]))
+        again = np.zeros(len(order), bool)
+        again[1:] = keys[order][1:] == keys[order][:-1]
+        return order, again
 
     def send(batches):
-        none = np.zeros((0, 2), U)
-        for number, block in enumerate(blocks(batches, size=BLOCK)):
-            s, first = _words(block)
-            at, place, hashes = anchors(s, first, window, level, P_WORD)
+        held, size = [], 0
+
+        def flush():
+            block, doc, place, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, again = ordered(block, doc, place, keys)
+            out, late = [], np.sort(order[again])
+            if len(late):  # an earlier one is in this very task: decided
+                out.append((int(block[late[0]] % last), True, squeeze(block[late]), b"", squeeze(place[late]), b""))
+            kept = np.sort(order[~again])
+            block, doc, place, keys = block[kept], doc[kept], place[kept], keys[kept]
+            return rows_of(out + [(b, False, squeeze(block[i]), squeeze(doc[i]), squeeze(place[i]), keys[i].tobytes()) for b, i in scatter(keys["a"], last)], names, kinds)
+
+        for texts in read(batches):
+            if not len(texts.places):
+                continue
+            symbols, _, _, first = word_hashes(texts.block)
+            at, _ = survivors(texts, symbols, first, half)
             if not len(at):
                 continue
-            edge = runs(place)
-            on = np.repeat(bloom.passes(hashes[place[edge[:-1]]], known.value), np.diff(edge))
-            at = at[on]
-            ids = np.asarray(block.batch.column("doc_id").to_numpy(zero_copy_only=False))
-            rows = np.searchsorted(first, at, "right") - 1
-            keys = np.stack([between(prefix(s, P_WORD), at, at + window, P_WORD), between(prefix(mix(s ^ P_SECOND), P_SECOND), at, at + window, P_SECOND)], 1)
-            doc, start = ids[rows], at - first[rows]
-            order = np.lexsort((start, doc, keys[:, 1], keys[:, 0]))
-            doc, start, keys = doc[order], start[order], keys[order]
-            again = np.zeros(len(doc), bool)
-            again[1:] = (keys[1:] == keys[:-1]).all(1)
-            out = []
-            if again.any():  # an earlier one is in this very block: decided
-                o = np.lexsort((start[again], doc[again]))
-                out.append(row(number % n_buckets, True, doc[again][o], start[again][o], none))
-            doc, start, keys = doc[~again], start[~again], keys[~again]
-            for b, i in scatter(keys[:, 0], n_buckets):
-                i = i[np.lexsort((start[i], doc[i]))]
-                out.append(row(b, False, doc[i], start[i], keys[i]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 4), strict=True)], names=["bucket", "passed", "docs", "counts", "starts", "keys"])
-
-    def answer(doc, start):
-        """Answers packed by a hash of doc_id, so that their rows are few however many windows they tell of."""
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        out = []
-        for b, i in scatter(mix(doc.astype(np.int64).view(U)), n_buckets):
-            at = runs(doc[i])
-            out.append((b, doc[i][at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), start[i].astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "docs", "counts", "starts"])
-
-    def gather(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for part, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part, []).append((np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(starts, np.int32)))
-        while held:
-            doc, start = (np.concatenate(x) for x in zip(*held.popitem()[1], strict=True))
-            order = np.argsort(doc, kind="stable")
-            doc, start = doc[order], start[order]
-            at = runs(doc)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[at[:-1]], pa.int64()), "starts": pa.array([start[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+            keys = np.empty(len(at), key_kind)
+            keys["a"] = between(prefix(symbols, P_WORD), at, at + window, P_WORD)
+            keys["b"] = between(prefix(word_hashes(texts.block, seed=1)[0], P_SECOND), at, at + window, P_SECOND) >> U(32)
+            held.append((np.full(len(at), texts.number, np.int64), np.repeat(texts.ids, np.diff(first))[at], at, keys))
+            size += 16 * len(at)
+            if size > SEND:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     def meet(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for b, passed, ids, counts, starts, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, start = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(starts, np.int32)
-                if passed:
-                    yield answer(doc, start)
+            for b, decided, block, doc, place, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block, place = expand(block), expand(place)
+                if decided:
+                    yield answer(block, place, parts)
                 else:
-                    held.setdefault(b, []).append((doc, start, np.frombuffer(keys, U).reshape(-1, 2)))
+                    held.setdefault(b, []).append((block, expand(doc), place, np.frombuffer(keys, key_kind)))
         while held:
-            doc, start, keys = (np.concatenate(x) for x in zip(*held.popitem()[1], strict=True))
-            order = np.lexsort((start, doc, keys[:, 1], keys[:, 0]))
-            doc, start, keys = doc[order], start[order], keys[order]
-            again = np.zeros(len(doc), bool)
-            again[1:] = (keys[1:] == keys[:-1]).all(1)
+            block, doc, place, keys = (np.concatenate(x) for x in zip(*held.popitem()[1], strict=True))
+            order, again = ordered(block, doc, place, keys)
             if again.any():
-                yield answer(doc[again], start[again])
+                yield answer(block[order[again]], place[order[again]], parts)
 
-    met = docs.mapInArrow(send, schema).repartition(n_buckets, "bucket").mapInArrow(meet, "part int, docs binary, counts binary, starts binary")
-    return met.repartition(n_buckets, "part").mapInArrow(gather, "doc_id long, starts binary")
+    sent = packed.with_places(found).mapInArrow(send, "bucket int, decided boolean, blocks binary, docs binary, places binary, keys binary")
+    return gathered(sent.repartition(last, "bucket").mapInArrow(meet, ANSWERS), parts)
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     """Remove each word covered by a `window`-word run that also starts earlier in the corpus.
 
-    Returns one row a document: doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256. Null text, empty text and text of spaces have no words. Texts shorter
-    than the window lose nothing. Of equal texts the one with the smallest doc_id stays whole. Rows with the same doc_id
-    are told apart by nothing else, so ids must be unique; rows without one are set aside whole. Other columns are not
-    read. window: an even number. An empty table gives no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = later_windows(docs.where("doc_id is not null"), window, text_bytes(docs))
+    Returns one row a document: doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256. Null text,
+    empty text and text of spaces have no words. Texts shorter than the window lose nothing. Of equal texts the one with the smallest
+    doc_id stays whole; of rows that repeat a doc_id, one counts as the earlier one, so a text of repeated rows stays once. Rows without
+    doc_id are set aside whole. Other columns are not read. window: four or more. An empty table gives no rows."""
+    packed = pack_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def keep(batches):
-        for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256")}
-            for block in blocks([batch]):
-                begin, _, first = block.words()
-                for r, (doc, starts) in enumerate(zip(block.batch.column("doc_id").to_pylist(), block.batch.column("starts").to_pylist(), strict=True)):
-                    b = begin[first[r] : first[r + 1]]
-                    gone = np.zeros(len(b) + 1, np.int64)
-                    if starts:
-                        at = np.frombuffer(starts, np.int32)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, np.minimum(at + window, len(b)), -1)
-                    stays = np.cumsum(gone)[:-1] == 0
-                    raw = block.data[block.bounds[r] : block.bounds[r + 1]].tobytes()
-                    kept = raw.split()  # of bytes: at the same characters
-                    kept = b" ".join(kept if stays.all() else [kept[i] for i in np.flatnonzero(stays)])
-                    for k, v in zip(out, (doc, len(b), int((~stays).sum()), kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
-
-    return docs.join(found, "doc_id", "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+        for texts in read(batches):
+            begin, _, first = texts.block.words()
+            gone = np.zeros(len(begin) + 1, np.int64)
+            np.add.at(gone, texts.places, 1)  # windows lie in their row
+            np.add.at(gone, texts.places + window, -1)
+            stays = np.cumsum(gone)[:-1] == 0
+            out = []
+            for r, (doc, known) in enumerate(zip(texts.ids.tolist(), texts.known.tolist(), strict=True)):
+                here = stays[first[r] : first[r + 1]]
+                kept = texts.block.data[texts.block.bounds[r] : texts.block.bounds[r + 1]].tobytes().split()  # of bytes: at the same characters
+                kept = b" ".join(kept if here.all() else [kept[i] for i in np.flatnonzero(here)])
+                out.append((doc if known else None, len(here), int((~here).sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
+            yield rows_of(out, ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+
+    return packed.with_places(later_windows(packed, window)).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

@@ -1,185 +1,170 @@
-"""Suffix sorting by induction, with bucket queues that go to disk (numpy and Python, used inside tasks).
+"""Suffix sorting by induction, with the priority queues in scratch files where memory is short (numpy, used inside tasks).
 
-The queue of an induced sort is a priority queue with one entry for each suffix, keyed by its first symbol; entries of one
-symbol leave in the order they came. So it is kept as one queue a symbol, of arrays, and the largest go to an unlinked scratch file
-when all of them together pass a budget. Whole runs of entries are taken at once. Substrings between leftmost S-type places
-are sorted by the same induction, named, and the string of names is sorted by recursion.
+The queue of an induced sort has one entry for each suffix, keyed by its first symbol; entries of one symbol leave in the order they
+came. How many of each symbol will come is known beforehand, so the queue is one array with a stretch for each symbol, in memory or in
+an unlinked scratch file that the system pages in and out. All entries up to the first that has not come yet leave at once,
+whatever their symbols, and what they induce is dealt out in their order. Substrings between leftmost S-type places are sorted by
+the same induction, named, and the string of names is sorted by recursion, with queues of the same kind.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
 
-#: Up to so many symbols, queues are taken as arrays; above (names), entry by entry.
-SMALL_ALPHABET = 4096
-
-
-class SymbolQueues:
-    """First in, first out for each symbol; symbols are taken in order, so all together are a priority queue."""
-
-    def __init__(self, symbols: int, budget: int):
-        self.held: list[list] = [[] for _ in range(symbols)]
-        self.in_memory, self.budget, self.file = 0, budget, None
-
-    def push(self, symbol: int, entries: np.ndarray) -> None:
-        self.held[symbol].append(entries)
-        self.in_memory += entries.nbytes
-        if self.in_memory > self.budget:
-            self.spill()
-
-    def spill(self) -> None:
-        """Write what is held to the scratch file; each array leaves (place, length) behind."""
-        self.file = self.file or tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for queue in self.held:
-            for k, x in enumerate(queue):
-                if isinstance(x, np.ndarray):
-                    queue[k] = (self.file.tell(), len(x))
-                    self.file.write(x.astype(np.int64).tobytes())
-        self.in_memory = 0
-
-    def take(self, symbol: int) -> np.ndarray:
-        out = []
-        for x in self.held[symbol]:
-            if isinstance(x, tuple):
-                self.file.seek(x[0])
-                x = np.frombuffer(self.file.read(8 * x[1]), np.int64)
-            else:
-                self.in_memory -= x.nbytes
-            out.append(x)
-        self.held[symbol] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def deal(self, entries: np.ndarray, symbols: np.ndarray) -> None:
-        order = np.argsort(symbols, kind="stable")
-        symbols, entries = symbols[order], entries[order]
-        cuts = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [len(symbols)]])
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                self.push(int(symbols[a]), entries[a:b])
-
-
-def s_types(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is smaller than the next one's; the end counts as smaller than any symbol."""
-    n = len(text)
-    rises = np.zeros(n, bool)
-    rises[:-1] = text[:-1] < text[1:]
-    differs = np.ones(n, bool)
-    differs[:-1] = text[:-1] != text[1:]
-    following = np.where(differs, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1]  # the next place whose symbol differs from its follower's
-    return rises[following]
+#: Entries that leave at once, at most.
+STEP = 1 << 16
+
+
+class Scratch:
+    """Arrays in memory while all of them fit a budget of bytes, else in unlinked files in the executor's own spill folder."""
+
+    def __init__(self, budget: int):
+        self.left = budget
+        self.in_files = 0
+
+    def array(self, n: int, kind) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        if size <= self.left or not n:
+            self.left -= size
+            return np.zeros(n, kind)
+        self.in_files += 1
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) as file:
+            file.truncate(size)
+            return np.memmap(file, kind, "r+", shape=(n,))
+
+    def give_back(self, array: np.ndarray) -> None:
+        if not isinstance(array, np.memmap):
+            self.left += array.nbytes
+
+
+def s_types(text: np.ndarray, out: np.ndarray) -> None:
+    """out: True where the suffix is smaller than the next one's; the end counts as smaller than any symbol. From right to left, in steps."""
+    n, after, rises = len(text), -1, False  # the symbol after the step, and the type of its suffix
+    for b in range(n, 0, -(STEP << 4)):
+        a = max(0, b - (STEP << 4))
+        here = np.concatenate([text[a:b], [after]]).astype(np.int64)
+        differs = here[:-1] != here[1:]
+        up = np.append(here[:-1] < here[1:], rises)
+        following = np.where(differs, np.arange(b - a), b - a)
+        following = np.minimum.accumulate(following[::-1])[::-1]  # the next place whose symbol differs from its follower's
+        out[a:b] = up[following]
+        after, rises = int(text[a]), bool(out[a])
+
+
+def deal(queue: np.ndarray, free: np.ndarray, entries: np.ndarray, symbols: np.ndarray, way: int) -> None:
+    """Put entries in order into the next free places of their symbols, upwards (1) or downwards (-1)."""
+    if not len(entries):
+        return
+    order = np.argsort(symbols, kind="stable")
+    symbols, entries = symbols[order], entries[order]
+    cut = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [len(symbols)]])
+    times = np.diff(cut)
+    queue[free[symbols] + way * (np.arange(len(symbols)) - np.repeat(cut[:-1], times))] = entries + 1
+    free[symbols[cut[:-1]]] += way * times
+
+
+def induce(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, symbols: int, scratch: Scratch) -> np.ndarray:
+    """All suffixes in order, from the S* suffixes in order (a symbol's together). Queues hold suffixes + 1; 0: not come yet."""
+    n, kind = len(text), np.int32 if len(text) < (1 << 31) - 1 else np.int64
+    every = np.zeros(symbols, np.int64)
+    small = np.zeros(symbols, np.int64)
+    for a in range(0, n, STEP << 4):
+        part = text[a : a + (STEP << 4)]
+        every += np.bincount(part, minlength=symbols)
+        small += np.bincount(part[s[a : a + (STEP << 4)]], minlength=symbols)
+    large, sown = every - small, np.bincount(text[seeds], minlength=symbols)
+    begin = np.concatenate([[0], np.cumsum(large + sown)[:-1]])
+    queue = scratch.array(int((large + sown).sum()), kind)
+    queue[np.arange(len(seeds)) + np.repeat(begin + large - np.cumsum(sown) + sown, sown)] = np.asarray(seeds) + 1
+    free = begin.copy()
+    deal(queue, free, np.array([n - 1]), np.array([int(text[n - 1])]), 1)
+    at, total, step = 0, len(queue), STEP
+    while at < total:
+        now = np.asarray(queue[at : at + step])
+        gap = np.flatnonzero(now == 0)
+        now = (now[: gap[0]] if len(gap) else now).astype(np.int64) - 1
+        if not len(now):
+            raise ValueError("a suffix was never induced")
+        at, step = at + len(now), min(STEP, max(256, 4 * len(now)))  # look no further than pays
+        prior = now[now > 0] - 1
+        prior = prior[~s[prior]]
+        deal(queue, free, prior, text[prior], 1)
+    start = np.concatenate([[0], np.cumsum(every)])
+    out = scratch.array(n, kind)
+    for a in range(0, symbols, STEP):  # L-type suffixes to their places
+        count, to = large[a : a + STEP], start[a : min(a + STEP, symbols)]
+        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(to, count) + inner] = queue[np.repeat(begin[a : a + STEP], count) + inner]
+    scratch.give_back(queue)
+    free, at, step = start[1:] - 1, n, STEP
+    while at:
+        low = max(0, at - step)
+        now = np.asarray(out[low:at])
+        gap = np.flatnonzero(now == 0)
+        now = (now[gap[-1] + 1 :] if len(gap) else now).astype(np.int64) - 1
+        if not len(now):
+            raise ValueError("a suffix was never induced")
+        at, step = at - len(now), min(STEP, max(256, 4 * len(now)))
+        prior = now[::-1]
+        prior = prior[prior > 0] - 1
+        prior = prior[s[prior]]
+        deal(out, free, prior, text[prior], -1)
+    for a in range(0, n, STEP << 4):
+        out[a : a + (STEP << 4)] -= 1
+    return out
 
 
-def induce_arrays(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, symbols: int, budget: int) -> np.ndarray:
-    """All suffixes in order, from the S* suffixes in order (a symbol's together)."""
-    n = len(text)
-    seed_symbol = text[seeds]
-    cuts = np.searchsorted(seed_symbol, np.arange(symbols + 1))
-    l_sorted: list[np.ndarray] = []
-    queues = SymbolQueues(symbols, budget)
-    queues.push(int(text[-1]), np.array([n - 1], np.int64))
-
-    def before(entries: np.ndarray, want_s: bool) -> tuple[np.ndarray, np.ndarray]:
-        prior = entries[entries > 0] - 1
-        prior = prior[s[prior] == want_s]
-        return prior, text[prior]
-
-    for c in range(symbols):
-        now, of_c = queues.take(c), []
-        while len(now):
-            of_c.append(now)
-            prior, first = before(now, False)
-            same = first == c
-            queues.deal(prior[~same], first[~same])
-            now = prior[same]
-        l_sorted.append(np.concatenate(of_c) if of_c else np.zeros(0, np.int64))
-        queues.deal(*before(seeds[cuts[c] : cuts[c + 1]], False))
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * (2 * symbols)
-    queues = SymbolQueues(symbols, budget)
-    for c in range(symbols - 1, -1, -1):
-        now, of_c = queues.take(c), []
-        while len(now):
-            of_c.append(now)
-            prior, first = before(now, True)
-            same = first == c
-            queues.deal(prior[~same], first[~same])
-            now = prior[same]
-        out[2 * c + 1] = (np.concatenate(of_c) if of_c else np.zeros(0, np.int64))[::-1]
-        out[2 * c] = l_sorted[c]
-        queues.deal(*before(l_sorted[c][::-1], True))
-    return np.concatenate(out)
-
-
-def induce_entries(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
-    """The same, entry by entry, for large alphabets."""
-    t, is_s, n = text.tolist(), s.tolist(), len(text)
-    seeded: list[list[int]] = [[] for _ in range(symbols)]
-    for p in seeds.tolist():
-        seeded[t[p]].append(p)
-    l_queue: list[list[int]] = [[] for _ in range(symbols)]
-    l_queue[t[-1]].append(n - 1)
-    for c in range(symbols):
-        queue = l_queue[c]
-        for p in queue:  # it grows meanwhile
-            if p and not is_s[p - 1]:
-                l_queue[t[p - 1]].append(p - 1)
-        for p in seeded[c]:
-            if p and not is_s[p - 1]:
-                l_queue[t[p - 1]].append(p - 1)
-    s_queue: list[list[int]] = [[] for _ in range(symbols)]
-    for c in range(symbols - 1, -1, -1):
-        for p in s_queue[c]:
-            if p and is_s[p - 1]:
-                s_queue[t[p - 1]].append(p - 1)
-        for p in reversed(l_queue[c]):
-            if p and is_s[p - 1]:
-                s_queue[t[p - 1]].append(p - 1)
-    return np.array([p for c in range(symbols) for p in (*l_queue[c], *reversed(s_queue[c]))], np.int64)
-
-
-def induce(text, s, seeds, symbols, budget):
-    return induce_arrays(text, s, seeds, symbols, budget) if symbols <= SMALL_ALPHABET else induce_entries(text, s, seeds, symbols)
+def suffix_array(text: np.ndarray, symbols: int, budget: int = 256 << 20) -> np.ndarray:
+    """The suffixes of text (integers from 0 to symbols - 1; it may itself be a mapped file) in order. budget: bytes of queues, types, names
+    and results that may be held in memory, at all levels together; what is beyond lies in scratch files."""
+    return _sorted(text, symbols, Scratch(budget))
 
 
-def suffix_array(text: np.ndarray, symbols: int, budget: int = 256 << 20) -> np.ndarray:
-    """The suffixes of text (integers from 0 to symbols - 1) in order. budget: bytes that queues may hold in memory."""
+def _sorted(text: np.ndarray, symbols: int, scratch: Scratch) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int64)
-    s = s_types(text)
-    star = np.zeros(n, bool)
-    star[1:] = s[1:] & ~s[:-1]
-    places = np.flatnonzero(star)
+    s = scratch.array(n, bool)
+    s_types(text, s)
+    found = [a + np.flatnonzero(s[a : a + (STEP << 4)] & ~np.concatenate([[a == 0 or bool(s[a - 1])], s[a : min(a + (STEP << 4), n) - 1]])) for a in range(0, n, STEP << 4)]
+    places = np.concatenate(found)
     if len(places) > 1:
-        ordered = induce(text, s, places[np.argsort(text[places], kind="stable")], symbols, budget)
-        ordered = ordered[star[ordered]]
-        length = np.zeros(n, np.int64)
-        length[places[:-1]] = np.diff(places) + 1
-        length[places[-1]] = n - places[-1] + 1  # to the end, which no other has
+        ordered = induce(text, s, places[np.argsort(text[places], kind="stable")], symbols, scratch)
+        star = scratch.array(n, bool)
+        star[places] = True
+        kept = np.concatenate([x[star[x]] for a in range(0, n, STEP << 4) for x in [np.asarray(ordered[a : a + (STEP << 4)])]]).astype(np.int64)
+        for used in (ordered, star):
+            scratch.give_back(used)
+        ordered = kept
+        rank = np.searchsorted(places, ordered)
+        length = np.append(np.diff(places) + 1, n - places[-1] + 1)[rank]  # the last one to the end, which no other has
         a, b = ordered[:-1], ordered[1:]
-        same = (length[a] == length[b]) & (b != places[-1]) & (a != places[-1])
+        same = (length[:-1] == length[1:]) & (b != places[-1]) & (a != places[-1])
         left = np.flatnonzero(same)
         k = 0
         while len(left):
-            left = left[length[a[left]] > k]
-            if not len(left):
-                break
-            off = text[a[left] + k] != text[b[left] + k]
-            off |= s[a[left] + k] != s[b[left] + k]
+            left = left[length[left] > k]
+            off = (text[a[left] + k] != text[b[left] + k]) | (s[a[left] + k] != s[b[left] + k])
             same[left[off]] = False
             left = left[~off]
             k += 1
         name = np.zeros(len(ordered), np.int64)
         name[1:] = np.cumsum(~same)
-        names = np.zeros(n, np.int64)
-        names[ordered] = name
         if name[-1] + 1 < len(ordered):
-            ordered = places[suffix_array(names[places], int(name[-1]) + 1, budget)]
+            names = scratch.array(len(places), np.int32 if len(places) < (1 << 31) - 1 else np.int64)
+            names[rank] = name
+            inner = _sorted(names, int(name[-1]) + 1, scratch)
+            ordered = places[inner]
+            for used in (names, inner):
+                scratch.give_back(used)
         places = ordered
-    return induce(text, s, places, symbols, budget)
+    out = induce(text, s, places, symbols, scratch)
+    scratch.give_back(s)
+    return out
 
 
 def common_at_least(text: np.ndarray, ordered: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:

@@ -8,9 +8,10 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from phraseforge.llm import packing, pii
+from phraseforge.llm import exchange, hashing, near_dedup, packing, pii, substring_dedup, suffix_dedup, suffix_sort
 from phraseforge.llm.queries import tokenizer_path
 
 rng = random.Random(11)
@@ -107,3 +108,109 @@ def test_mask_keeps_all_columns(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "mail <EMAIL> now", 16, "k", 9)] * 2 + [tuple(rows[2]), tuple(rows[3])], key=str)
     assert pii.mask_personal(docs.limit(0)).count() == 0 and pii.find_personal(docs.limit(0)).count() == 0
+
+
+VOCAB = ["".join(rng.choice("abcdefgéñ") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+
+
+def prose(n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def removed_words(rows, window):
+    """rows: (doc_id, text), in the corpus' order."""
+    seen, out = set(), []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(key)
+        out.append((d, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return out
+
+
+def removed_bytes(rows, length):
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    count = collections.Counter(b[i : i + length] for _, b in raw for i in range(len(b) - length + 1))
+    out = []
+    for d, b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append((d, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def repeats():
+    """Repeated rows, copies, a passage amid different text in many documents, runs of one word, long words."""
+    base, passage = prose(90), prose(45)
+    rows = [(1, base), (1, base), (1, base), (2, base), (3, "la " * 300), (4, None), (5, ""), (6, "x" * 900), (6, "x" * 900), (7, prose(19))]
+    rows += [(d, f"{prose(rng.randint(0, 30))} {passage} {prose(rng.randint(0, 30))}") for d in range(10, 60)]
+    words = base.split()
+    rows += [(d, " ".join(words[: d - 60] + [f"edit{d}"] + words[d - 59 :])) for d in range(60, 90)]
+    return rows
+
+
+def test_substring_dedup_repeated_rows(spark):
+    rows = repeats()
+    docs = spark.createDataFrame([(d, t, 1, "c", 5) for d, t in rows], "doc_id long, text string, block int, places string, known long").repartition(5)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs).collect())
+    assert got == sorted(removed_words(rows, 20))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs, 7).collect())
+    assert got == sorted(removed_words(rows, 7))
+
+
+def test_substring_dedup_null_ids_and_send_limits(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEND", 2000)
+    monkeypatch.setattr(exchange, "SEND", 2000)
+    monkeypatch.setattr(exchange, "BLOCK", 3000)
+    base = prose(60)
+    rows = [(None, base), (8, base), (None, base), (9, base)]
+    got = sorted(((r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 0), (None, 0), (8, 0), (9, 60)], key=str)
+    rows = repeats()
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == sorted(removed_words(rows, 20))
+
+
+@pytest.mark.parametrize("limits", [None, (600, 3000, 4000)])
+def test_suffix_dedup_hot_groups(spark, monkeypatch, limits):
+    if limits:  # groups are halved round by round, shards are sorted apart, messages and blocks are small
+        for name, value in zip(("GROUP", "SHARD", "SEND"), limits, strict=True):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    rows = repeats()
+    docs = spark.createDataFrame([(d, t, 1, "c", 5) for d, t in rows], "doc_id long, text string, block int, places string, known long").repartition(5)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(docs).collect())
+    assert got == sorted(removed_bytes(rows, 200))
+
+
+def test_suffix_array_larger_than_memory():
+    gen = np.random.default_rng(4)
+    block = gen.integers(0, 30, 40_000)
+    text = np.concatenate([block, gen.integers(0, 30, 20_000), block]).astype(np.int16)
+    scratch = suffix_sort.Scratch(50_000)
+    got = suffix_sort._sorted(text, 30, scratch)
+    assert scratch.in_files > 5
+    assert (got == suffix_sort.suffix_array(text, 30)).all()
+    raw = bytes(text.astype(np.uint8))
+    for a, b in zip(got[:-1:97].tolist(), got[1::97].tolist(), strict=False):
+        assert raw[a:] < raw[b:]
+
+
+def test_words_of_like_structure_hash_apart():
+    morse = [0]
+    for _ in range(12):
+        morse += [1 - x for x in morse]
+    pairs = [("".join("ab"[x] for x in morse[:n]), "".join("ba"[x] for x in morse[:n])) for n in (16, 32, 64, 1024, 2048, 4096)]
+    words = [w for pair in pairs for w in pair]
+    block = next(hashing.blocks([pa.RecordBatch.from_pydict({"text": pa.array([" ".join(words)])})]))
+    assert len(set(hashing.word_hashes(block)[0].tolist())) == len(words)
+    rows = [" ".join("ab"[x] for x in morse[:n]) for n in (1024, 4096)] + [" ".join("ba"[x] for x in morse[:n]) for n in (1024, 4096)]
+    block = next(hashing.blocks([pa.RecordBatch.from_pydict({"text": pa.array(rows)})]))
+    _, keys = near_dedup.shingle_sets(block)
+    assert len(set(keys[:, 0].tolist())) == 4 and len(set(keys[:, 1].tolist())) == 4
