@@ -97,6 +97,11 @@ def scatter(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[cuts[b] : cuts[b + 1]]
 
 
+def home(number: int, n: int) -> int:
+    """The bucket that takes what a block has decided alone."""
+    return int(mix(np.array([number], np.int64).view(U))[0] % U(n))
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Ascending or alike integers, as compressed differences."""
     return zstandard.compress(np.diff(values.astype(np.int64), prepend=np.int64(0)).tobytes(), 1)
@@ -161,7 +166,7 @@ def met_again(packed: Packed, found: DataFrame | None, keys_of: Keys, n_buckets:
             again = order[np.repeat(many, np.diff(cut))]
             again = np.sort(again[places[again] >= 0])
             kept = order[cut[:-1]]
-            out = [(int(block[again[0]] % n_buckets), True, squeeze(block[again]), squeeze(places[again]), b"")] if len(again) else []
+            out = [(home(block[again[0]], n_buckets), True, squeeze(block[again]), squeeze(places[again]), b"")] if len(again) else []
             places[kept[many]] = -1  # decided here; others need but know the key
             kept = np.sort(kept)
             block, places, keys = block[kept], places[kept], keys[kept]

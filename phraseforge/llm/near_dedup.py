@@ -7,7 +7,8 @@ Small nodes are compared exhaustively: by sketches first, then, where these leav
 
 What keeps it in bounds: equal word sequences are one class from the start; comparing is a search through the unvisited members, so
 a group where all are alike costs one pass and gives links enough to connect it, never all pairs; a node too large for one task is
-dealt into chunks that all hold its smallest member, and members that this pivot does not reach meet every chunk.
+branched on, six times at most, then dealt into chunks that all hold its smallest member. Members that this pivot does not reach are dealt
+into chunks too, and each of these meets each chunk of the node, two chunks to a task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SHINGLE = 5
 HASHES = 64
 TREES = 7
 CHILDREN = 3
-DEPTH = 3
+DEPTH = 6
 NODE = 2000
 GROUP = 1000
 with np.errstate(over="ignore"):
@@ -155,7 +156,7 @@ def compare(pairs: DataFrame, attach, load, near: Near, limit: int, name: str) -
                 ids = table.column("rep").to_numpy()
                 foreign, pivot, chunks = (table.column(c).to_numpy() for c in ("foreign", "pivot", "chunks"))
                 node, split = table.column("node")[0].as_py(), chunks[0] > 1
-                # the second time from the residue, which every chunk holds: nothing that it links with is left out
+                # the second time from the strip of the residue that meets this chunk
                 pairs = search(table, load, near, np.flatnonzero(foreign == 1) if second else np.argsort(ids, kind="stable"))
                 out = [(node, int(ids[i]), int(ids[j]), 0) for i, j in pairs if ids[i] != ids[j]]
                 if split and not second:
@@ -179,10 +180,18 @@ def compare(pairs: DataFrame, attach, load, near: Near, limit: int, name: str) -
     found = materialise(deal(first).mapInArrow(meet(False), schema), f"{name}-links")
     links = found.where("kind = 0").drop("kind")
     if large:
-        residue = found.where("kind = 1").select("node", F.col("a").alias("rep"))
-        here = parted.where("chunks > 1").withColumn("chunk", own)
-        guests = here.join(residue, ["node", "rep"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("foreign", F.lit(1))
-        second = here.withColumn("foreign", F.lit(0)).select(*columns).unionByName(guests.select(*columns))
+        residue = found.where("kind = 1").select("node", F.col("a").alias("rep")).distinct()
+        strips = materialise(residue.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("strips")), f"{name}-strips")
+        here = parted.where("chunks > 1").withColumn("own", own).join(strips, "node")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        members = here.withColumn("strip", every("strips")).withColumns({"chunk": F.col("own") * F.col("strips") + F.col("strip"), "foreign": F.lit(0)})
+        strip = F.pmod(F.xxhash64("rep", F.lit("strip")), F.col("strips")).cast("int")
+        guests = here.join(residue, ["node", "rep"], "left_semi").withColumn("strip", strip).withColumn("to", every("chunks")).where("to <> own")
+        guests = guests.withColumns({"chunk": F.col("to") * F.col("strips") + F.col("strip"), "foreign": F.lit(1)})
+        # a strip's members of the chunk itself are told by `foreign` too: they meet their own chunk
+        inside = here.join(residue, ["node", "rep"], "left_semi").select("node", "rep", strip.alias("home"))
+        members = members.join(inside, ["node", "rep"], "left").withColumn("foreign", F.when(F.col("home") == F.col("strip"), 1).otherwise(0))
+        second = members.select(*columns).unionByName(guests.select(*columns))
         links = links.unionByName(materialise(deal(second).mapInArrow(meet(True), schema), f"{name}-residue").drop("kind"))
     return links
 
@@ -260,12 +269,12 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     for depth in range(DEPTH):
         rows = materialise(rows.distinct(), f"tree-{depth}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = rows.join(sizes, "node")
-        if depth == DEPTH - 1:
+        sized = materialise(rows.join(sizes, "node"), f"sized-{depth}")
+        large = sized.where(F.col("size") > NODE).drop("size")
+        if depth == DEPTH - 1 or not large.limit(1).count():
             leaves.append(sized.drop("size"))
             break
         leaves.append(sized.where(F.col("size") <= NODE).drop("size"))
-        large = sized.where(F.col("size") > NODE).drop("size")
         rows = deeper(large.join(reps, "rep"))
     members = leaves[0]
     for more in leaves[1:]:
@@ -321,6 +330,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id; all columns kept."""
+    """docs with one document of each component, the one with the smallest doc_id; all columns kept.
+
+    Rows that repeat doc_id and text are copies too: one stays. Texts without words and rows without doc_id are linked with
+    nothing: all of them stay, but for repeats with a doc_id. An empty table gives no rows."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .exchange import ANSWERS, SEND, Packed, Texts, answer, expand, gathered, met_again, pack_texts, read, rows_of, runs, scatter, squeeze
+from .exchange import ANSWERS, SEND, Packed, Texts, answer, expand, gathered, home, met_again, pack_texts, read, rows_of, runs, scatter, squeeze
 from .hashing import P_WORD, U, between, prefix, word_hashes
 from .shared import parts_for
 
@@ -84,7 +84,7 @@ def later_windows(packed: Packed, window: int) -> DataFrame:
             order, again = ordered(block, doc, place, keys)
             out, late = [], np.sort(order[again])
             if len(late):  # an earlier one is in this very task: decided
-                out.append((int(block[late[0]] % last), True, squeeze(block[late]), b"", squeeze(place[late]), b""))
+                out.append((home(block[late[0]], last), True, squeeze(block[late]), b"", squeeze(place[late]), b""))
             kept = np.sort(order[~again])
             block, doc, place, keys = block[kept], doc[kept], place[kept], keys[kept]
             return rows_of(out + [(b, False, squeeze(block[i]), squeeze(doc[i]), squeeze(place[i]), keys[i].tobytes()) for b, i in scatter(keys["a"], last)], names, kinds)

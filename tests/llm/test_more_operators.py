@@ -214,3 +214,45 @@ def test_words_of_like_structure_hash_apart():
     block = next(hashing.blocks([pa.RecordBatch.from_pydict({"text": pa.array(rows)})]))
     _, keys = near_dedup.shingle_sets(block)
     assert len(set(keys[:, 0].tolist())) == 4 and len(set(keys[:, 1].tolist())) == 4
+
+
+def shingle_set(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else (frozenset([tuple(w)]) if w else frozenset())
+
+
+def components_by_hand(rows, percent):
+    sets = {d: shingle_set(t) for d, t in rows}
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_near_dedup_of_a_template(spark, monkeypatch):
+    """Many documents share most of a page, few of them are near copies: hardly any is reached from a node's pivot."""
+    for name in ("NODE", "GROUP"):
+        monkeypatch.setattr(near_dedup, name, 6)
+    page = prose(70)
+    rows = [(d, f"{page} {prose(40)}") for d in range(1, 60)]
+    rows += [(d + 100, t + " more") for d, t in rows[::3]] + [(200, None), (201, " "), (202, "ab")]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, node int, rep long").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == components_by_hand(rows, 85)
+
+
+def test_keep_one_of_repeated_rows(spark):
+    base, other = prose(60), prose(60)
+    rows = [(1, base, 7), (1, base, 7), (1, base, 7), (2, base, 8), (3, other, 9), (None, base, 1), (4, None, 2), (4, None, 2), (5, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
+    got = sorted(map(tuple, near_dedup.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, base, 7), (3, other, 9), (None, base, 1), (4, None, 2), (5, "", 3)], key=str)
