@@ -51,10 +51,12 @@ def packed_bins(hashes: Column) -> Column:
     def dense(least: Column) -> Column:
         low = lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1))
         borrowed = lambda b: low(F.array_min(F.transform(least, lambda h: F.xxhash64(b, bin_of(h)).bitwiseAND(F.lit(-(1 << BITS))).bitwiseOR(low(h)))))
-        every = F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1))
-        filled = lambda m: F.transform(every, lambda b: (F.coalesce(F.element_at(m, b), borrowed(b)) - F.lit(128)).cast("tinyint"))
-        own = F.map_from_arrays(F.transform(least, bin_of), F.transform(least, low))
-        return F.when(F.size(least) == 0, F.expr("cast(array() as array<tinyint>)")).otherwise(let(own, filled))
+        none = F.expr("cast(array() as array<bigint>)")
+        gap = lambda low_bin, high_bin: F.when(low_bin > high_bin, none).otherwise(F.transform(F.sequence(low_bin, high_bin), borrowed))
+        # the filled bins in order, each after the empty ones before it
+        own = F.transform(least, lambda h, i: F.concat(gap(F.coalesce(bin_of(F.get(least, i - 1)), F.lit(-BINS // 2 - 1)) + 1, bin_of(h) - 1), F.array(low(h))))
+        every = F.concat(F.flatten(own), gap(bin_of(F.get(least, F.size(least) - 1)) + 1, F.lit(BINS // 2 - 1)))
+        return F.when(F.size(least) == 0, F.expr("cast(array() as array<tinyint>)")).otherwise(F.transform(every, lambda v: (v - F.lit(128)).cast("tinyint")))
 
     return let(let(F.sort_array(hashes), first_of_bin), dense)
 
@@ -101,7 +103,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by a bucket of doc_id that holds a few MB; the first row of each bucket is added to the one before."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(parts_for(text_bytes(docs), 2 << 20), COARSE * COARSE)
+    n_bytes = text_bytes(docs)
+    n = min(parts_for(n_bytes, 2 << 20), COARSE * COARSE)
     docs = docs.withColumn("bucket", id_buckets(docs, n))
     lead = F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     firsts = docs.groupBy("bucket").agg(lead.alias("first_id"))
@@ -110,6 +113,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     extra = docs.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("goes_to").agg(F.min("text").alias("text"))  # as many rows as buckets, which n bounds
     extra = extra.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("goes_to").alias("bucket"), F.lit(1).alias("extra"))
     rows = docs.withColumn("extra", F.lit(0)).unionByName(extra).withColumn("bins", packed_bins(shingle_hashes(F.col("text"))))
+    rows = rows.repartition(parts_for(n_bytes, 24 << 20), "bucket")
     by_id = Window.partitionBy("bucket").orderBy("extra", "doc_id", "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(by_id), "next_bins": F.lead("bins").over(by_id)}).where("extra = 0")
     n_chars = F.length("text")
