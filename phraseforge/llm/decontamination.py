@@ -68,7 +68,8 @@ def canonical(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     opens = first[:-1][first[:-1] < first[1:]]
     new[opens] = True
     name = first_upper & (total(upper) == 1) & (b - a > 1) & ~new & ~digit
-    unit = np.isin(symbols, UNIT_HASHES)
+    unit = np.isin(symbols, UNIT_HASHES) & np.concatenate([[False], digit[:-1]])[: len(digit)]  # after a number only
+    unit[opens] = False
     out = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, symbols)))
     return out, symbols, digit | unit | name, name & ~unit, starts, ends, first
 
