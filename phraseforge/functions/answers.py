@@ -11,6 +11,8 @@ from .text import normalize, strip_fences
 NOT_A_NAME = r"(?i)[.;:]\s|\b(the|this|is|are|refers|means|should)\b"
 THINKING = ("The user is", "We need to")
 MARKERS = ("Thinking...", ">")
+#: The tags of the channel protocol.
+CHANNEL, FINAL, END = "<|channel|>", "<|channel|>final<|message|>", "<|end|>"
 
 
 def _full(text: Column) -> Column:
@@ -28,10 +30,10 @@ def best_title(long_title: Column, title: Column) -> Column:
 def parse_channel(raw: Column) -> Column:
     """Text of the final channel; else of the last part between end tags, without tags; else all of it."""
     raw = _full(raw)
-    final = r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|end\|>|\z)"
-    last = strip(F.regexp_replace(F.element_at(F.split(raw, r"<\|end\|>"), -1), r"<\|[^|]+\|>", ""))
-    tagged = raw.contains("<|channel|>") & (last != "")
-    return F.when(raw.rlike(final), strip(F.regexp_extract(raw, final, 1))).when(tagged, last).otherwise(strip(raw))
+    final = F.substring_index(F.get(F.split(raw, rf"\Q{FINAL}\E", 2), F.lit(1)), END, 1)
+    last = strip(F.regexp_replace(F.element_at(F.split(raw, rf"\Q{END}\E"), -1), r"<\|[^|]+\|>", ""))
+    tagged = raw.contains(CHANNEL) & (last != "")
+    return F.when(raw.contains(FINAL), strip(final)).when(tagged, last).otherwise(strip(raw))
 
 
 def extract_json_object(raw: Column) -> Column:
@@ -78,13 +80,22 @@ def parse_string_list(raw: Column, most: int = 5) -> Column:
 
 
 def list_items(raw: Column) -> Column:
-    """Items of a list kept as text, nested lists flattened: quoted strings in order, or bare items where none is quoted."""
+    """Items of a list kept as text, nested lists flattened: quoted strings in order, or bare items where none is quoted.
+
+    A string ends at the mark that opens it, so an apostrophe within double quotes is part of the item; a backslash keeps what follows."""
     text = strip(_full(raw))
-    quoted = F.regexp_extract_all(text, F.lit("[\"']([^\"']*)[\"']"), F.lit(1))
+    literal = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
+    bare_text = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"(?s)\\(.)", "$1")
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(literal), F.lit(1)), bare_text)
     bare = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\[\]]", ""), ","), strip), lambda x: x != "")
     return F.when(F.size(quoted) > 0, quoted).otherwise(bare)
 
 
+def unique_ordered(items: Column) -> Column:
+    """Distinct items in the order of their first places."""
+    return F.array_distinct(items)
+
+
 def truncate_any(code: Column) -> Column:
     return F.substring_index(code, ".", 1)
 
@@ -105,8 +116,9 @@ def clean_chapters(raw: Column) -> Column:
 
 
 def to_json_list(items: Column) -> Column:
-    """`["A", "B"]`; empty: `[]`."""
-    return F.when(F.size(items) > 0, F.concat(F.lit('["'), F.array_join(items, '", "'), F.lit('"]'))).otherwise("[]")
+    """`["A", "B"]`, with double quotes and backslashes escaped; empty: `[]`."""
+    safe = F.transform(items, lambda x: F.regexp_replace(x, r'(["\\])', r"\\$1"))
+    return F.when(F.size(items) > 0, F.concat(F.lit('["'), F.array_join(safe, '", "'), F.lit('"]'))).otherwise("[]")
 
 
 def truncate_codes_in_json(raw: Column) -> Column:
@@ -118,7 +130,10 @@ def truncate_codes_in_json(raw: Column) -> Column:
     is_object = F.try_parse_json(raw).isNotNull() & (array != "")
     at = F.position(array, raw)
     swapped = F.concat(F.substring(raw, F.lit(1), at - 1), to_json_list(codes), F.substring(raw, at + F.length(array), F.length(raw)))
-    return F.when(is_object, swapped).when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.regexp_replace(raw, r'("\w+)\.\d+(")', "$1$2"))
+    pieces = F.split(raw, '"')  # between quotation marks
+    code = lambda i: F.coalesce(F.get(pieces, i).rlike(r"^\w+\.\d+$"), F.lit(False))
+    cut = F.transform(pieces, lambda x, i: F.when((i > 0) & (i < F.size(pieces) - 1) & code(i) & ~code(i - 1), truncate_any(x)).otherwise(x))
+    return F.when(is_object, swapped).when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.array_join(cut, '"'))
 
 
 def clip(raw: Column, most: int = 500) -> Column:

@@ -123,3 +123,8 @@ def category_prefix(label: Column) -> Column:
     for word, prefix in PREFIXES:
         out = out.when(label.contains(word), prefix)
     return out.otherwise("OTR")
+
+
+def codes_to_chapters(codes: Column) -> Column:
+    """Sorted distinct chapters of the codes."""
+    return F.array_sort(F.array_distinct(F.transform(codes, chapter_roman)))

@@ -22,10 +22,12 @@ def variants(phrases: DataFrame) -> DataFrame:
 
 
 def exact_cascade(phrases: DataFrame, terms: DataFrame) -> DataFrame:
-    """(phrase_id, code, match_type): the complete phrase first, then its core; nf where neither is a term."""
+    """(phrase_id, code, match_type): the complete phrase first, then its core; nf where neither is a term, blank for a blank phrase."""
     hits = variants(phrases).join(first_claims(terms), "term")
     best = hits.groupBy("phrase_id").agg(F.min_by(F.struct("code", "source"), "step").alias("b"))
-    return phrases.select("phrase_id").join(best, "phrase_id", "left").select("phrase_id", F.col("b.code").alias("code"), F.coalesce(F.concat(F.lit("exact_"), F.col("b.source")), F.lit("nf")).alias("match_type"))
+    blank = normalize(F.col("phrase")) == ""
+    out = phrases.select("phrase_id", blank.alias("blank")).join(best, "phrase_id", "left")
+    return out.select("phrase_id", F.when(~F.col("blank"), F.col("b.code")).alias("code"), F.when(F.col("blank"), "").otherwise(F.coalesce(F.concat(F.lit("exact_"), F.col("b.source")), F.lit("nf"))).alias("match_type"))
 
 
 def numbered(rows: DataFrame, group: str, buckets: int = 200) -> DataFrame:
@@ -94,6 +96,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     return pairs.select("query_id", "vec_id", F.round(dot, 6).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def conversations_as_json(turns: DataFrame) -> DataFrame:
+    """(conv_id, conversation): each conversation as one JSON array of its turns (turn, role, text) in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))  # a conversation is one row's worth
+    return turns.groupBy("conv_id").agg(F.to_json(ordered, {"ignoreNullFields": "false"}).alias("conversation"))
+
+
 def conversation_json(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, final_text): turns of a conversation, and the last assistant turn's text."""
     said = F.when(F.col("role") == "assistant", F.col("text"))

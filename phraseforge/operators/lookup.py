@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import name_differs
 from ..functions.text import is_nf, parse_verdict
 
 
@@ -81,3 +82,26 @@ def warnings(violations: DataFrame, stability: DataFrame, churn: DataFrame, vari
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.where("n > 0")
+
+
+def source_shares(ledger: DataFrame) -> DataFrame:
+    """source_mix with each source's share of its run."""
+    return source_mix(ledger).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("run_id")))  # three rows a run
+
+
+def cascade_details(rows: DataFrame) -> DataFrame:
+    """rows (phrase, core, category, match_type): per match type its rows, those with a code that is no not-found id, and those whose core is another name
+    than the phrase; blank types are skipped."""
+    named = rows.where("match_type <> ''")
+    return named.groupBy("match_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(~is_nf(F.col("category")) & (F.coalesce("category", F.lit("")) != "")).alias("n_resolved"), F.count_if(name_differs(F.col("core"), F.col("phrase"))).alias("n_core_differs"))
+
+
+def verdict_summary(gated: DataFrame) -> DataFrame:
+    """Per run and outcome of the gate (yes, no, skipped_nf, no_lookup, error): rows. error: judged without a clear answer."""
+    out = F.when(F.col("gate_reason") == "nf", "skipped_nf").when(F.col("gate_reason") != "judged", "no_lookup").when(F.col("verdict") == "", "error").otherwise(F.col("verdict"))
+    return gated.groupBy("run_id", out.alias("verdict_outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pair_iterations(results: DataFrame, codes: DataFrame) -> DataFrame:
+    """results (query_id, iteration, ...) with the columns of codes (query_id, iteration, ...), null where an iteration has no codes."""
+    return results.join(codes, ["query_id", "iteration"], "left")

@@ -91,3 +91,9 @@ def value_mismatches(ledger: DataFrame, column: str) -> DataFrame:
 def latency_summary(events: DataFrame) -> DataFrame:
     """Per query: mean, deviation and range of latency, and successes."""
     return events.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("mean_ms"), F.stddev_samp("latency_ms").alias("sd_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.count_if(F.col("status") == "success").alias("n_success"))
+
+
+def column_differences(runs: dict[int, DataFrame], first: int = 1) -> list[tuple[int, str, str]]:
+    """(run, column, extra or missing) against the first run's columns; from schemas alone."""
+    base = set(runs[first].columns)
+    return sorted((k, c, "extra" if c not in base else "missing") for k, df in runs.items() for c in base ^ set(df.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_nf
@@ -89,3 +89,53 @@ def nf_churn(cells: DataFrame) -> DataFrame:
     """Not-found cases in every run, in any run, and those that change."""
     per = cells.groupBy("case_id").agg(F.count_if(is_nf(F.col("category"))).alias("k"), F.count(F.lit(1)).alias("runs"))
     return per.agg(F.count_if(F.col("k") == F.col("runs")).alias("n_always"), F.count_if(F.col("k") > 0).alias("n_ever"), F.count_if((F.col("k") > 0) & (F.col("k") < F.col("runs"))).alias("n_churn"))
+
+
+def by_run(rows: DataFrame, value: str) -> DataFrame:
+    """(case_id, by_run): a column's values as text, `1:B27; 4:C01`, by run; `none` for a missing one."""
+    said = F.concat(F.col("run_id").cast("string"), F.lit(":"), F.coalesce(value, F.lit("none")))
+    ordered = F.array_sort(F.collect_list(F.struct("run_id", said.alias("text"))))  # an entry a run
+    return rows.groupBy("case_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "; ").alias("by_run"))
+
+
+def violation_codes(ledger: DataFrame, stability: DataFrame) -> DataFrame:
+    """Unstable cases with exact matches: the codes of these runs."""
+    exact = ledger.where(F.col("match_type").startswith("exact_"))
+    return by_run(exact.join(stability.where("stability = 'unstable'"), "case_id", "left_semi"), "category")
+
+
+def verdicts_by_run(cells: DataFrame) -> DataFrame:
+    """Cases with one category and both verdicts: the verdicts of the runs."""
+    return by_run(cells.join(judge_variance(cells), "case_id", "left_semi"), "consistency")
+
+
+def level_shares(ledger: DataFrame) -> DataFrame:
+    """level_agreement with each level's share."""
+    return level_agreement(ledger).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # three rows
+
+
+def depth_by_class(ledger: DataFrame, stability: DataFrame) -> DataFrame:
+    """Per modal depth and stability class: cases, and their share of the depth."""
+    votes = ledger.where("depth is not null").groupBy("case_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first_run"))
+    modal = votes.groupBy("case_id").agg(F.max_by("depth", F.struct(F.col("n"), -F.col("first_run"))).alias("depth"))
+    out = modal.join(stability, "case_id").groupBy("depth", "stability").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("depth")))  # a row a class
+
+
+def nf_differences(ledger: DataFrame) -> DataFrame:
+    """(run_id, case_id, side): cases not found in a run but in run 1 (only_in_run), or the other way (only_in_first); a row a case."""
+    nf = ledger.where(is_nf(F.col("category"))).select("run_id", "case_id").distinct()
+    runs = ledger.select("run_id").distinct().where("run_id <> 1")
+    one = nf.where("run_id = 1").select("case_id")
+    here = nf.where("run_id <> 1").join(one, "case_id", "left_anti").select("run_id", "case_id", F.lit("only_in_run").alias("side"))
+    gone = one.join(F.broadcast(runs), how="cross").join(nf, ["run_id", "case_id"], "left_anti").select("run_id", "case_id", F.lit("only_in_first").alias("side"))  # as many rows as runs
+    return here.unionByName(gone)
+
+
+def nf_subset(ledger: DataFrame) -> DataFrame:
+    """Per run: whether all its not-found cases are not found in run 1 either; and whether runs depend on each other, which shows in cases
+    that no run has found."""
+    drift = nf_drift(ledger)
+    churn = nf_churn(grid(ledger))
+    flagged = drift.select("run_id", (F.col("n_only_here") == 0).alias("is_subset"))
+    return flagged.join(F.broadcast(churn.select((F.col("n_always") > 0).alias("dependent"))), how="cross")  # one row

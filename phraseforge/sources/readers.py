@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import strip
 from ..functions.text import strip_dagger
+from .scratch import kept
 
 #: The cp1252 characters of bytes 0x80 to 0x9F; the five undefined ones are U+FFFD.
 CP1252 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
@@ -22,8 +23,11 @@ DISORDERS = """JDBOR array<struct<DisorderList: array<struct<Disorder: array<str
 
 
 def load_runs(spark: SparkSession, path: str, n_runs: int | None = None) -> DataFrame:
-    """CSV files of runs as one table with run_id, by the number after `run` in each file's name. A missing run is an error."""
-    rows = spark.read.csv(path, header=True, escape='"', multiLine=True).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_name"), r"run-?(\d+)", 1).try_cast("int"))
+    """CSV files of runs as one table with run_id, by the number after `run` in each file's name, or in its folder's (`run_id=3`). A
+    missing run is an error."""
+    number = lambda text: F.regexp_extract(text, r"run(?:_id=|-)?(\d+)", 1).try_cast("int")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    rows = spark.read.csv(path, header=True, escape='"', multiLine=True).withColumn("run_id", F.coalesce(number(F.col("_metadata.file_name")), number(folder)))
     if n_runs is not None:
         missing = [r["id"] for r in spark.range(1, n_runs + 1).join(rows.select(F.col("run_id").cast("long").alias("id")).distinct(), "id", "left_anti").collect()]  # run numbers
         if missing:
@@ -65,10 +69,10 @@ def _label(names: Column, lang: str) -> Column:
     return F.coalesce(F.get(F.filter(names, lambda x: x["lang"] == lang), F.lit(0))["label"], F.get(names, F.lit(0))["label"])
 
 
-def read_disorders(spark: SparkSession, path: str, source: str, lang: str = "en") -> DataFrame:
-    """(orpha_code, name, synonyms, icd_codes, pos) of a nested terminology; codes of one source system, each with its relation's
+def read_disorders(spark: SparkSession, path: str, source: str, lang: str = "en", lines: bool = False) -> DataFrame:
+    """lines: each line of the files is a terminology of its own. (orpha_code, name, synonyms, icd_codes, pos) of a nested terminology; codes of one source system, each with its relation's
     first word (ND if it has none), blank codes dropped."""
-    top = spark.read.schema(DISORDERS).json(path, multiLine=True)
+    top = spark.read.schema(DISORDERS).json(path, multiLine=not lines)
     rows = top.select(F.posexplode(F.flatten(F.flatten(F.transform("JDBOR", lambda j: F.transform(j["DisorderList"], lambda d: d["Disorder"]))))).alias("pos", "d"))
     empty = F.array().cast("array<string>")
     synonyms = F.coalesce(F.transform(F.flatten(F.transform("d.SynonymList", lambda s: s["Synonym"])), lambda s: s["label"]), empty)
@@ -100,29 +104,32 @@ def read_classes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_id_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(key, code, label, category, first_seen) of a JSON map of ids."""
-    whole = spark.read.text(path, wholetext=True)
+def read_id_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(key, code, label, category, first_seen) of a JSON map of ids; lines: of one map a line."""
+    whole = spark.read.text(path, wholetext=not lines)
     parsed = F.from_json("value", "map<string, struct<code: string, label: string, category: string, first_seen: string>>")
     return whole.select(F.explode(parsed).alias("key", "v")).select("key", "v.code", "v.label", "v.category", F.col("v.first_seen").try_cast("date").alias("first_seen"))
 
 
-def read_id_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) of a JSON map of texts by number."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("id", "text")).withColumn("id", F.col("id").try_cast("int"))
+def read_id_texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, text) of a JSON map of texts by number; lines: of one map a line."""
+    return spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string, string>")).alias("id", "text")).withColumn("id", F.col("id").try_cast("int"))
 
 
-def read_cases(spark: SparkSession, path: str, marker: str = "GROUND_TRUTH:") -> DataFrame:
-    """(idx, filename, case_text, codes): whole files, cut at the marker; idx is the file's place by name, from 1.
+def read_cases(spark: SparkSession, path: str, marker: str = "GROUND_TRUTH:", by_folder: bool = False) -> DataFrame:
+    """(idx, filename, case_text, codes): whole files, cut at the marker; idx is the file's place by name, from 1. by_folder: a file goes
+    by the name of its folder.
 
-    Places come from counts of names by their first two characters, so no task holds all names."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), "value")
+    Names are sorted into ranges, which are written; a range adds the count of those before it. So no task holds all names."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -2) if by_folder else F.col("_metadata.file_name")
+    rows = spark.read.text(path, wholetext=True).select(name.alias("filename"), "value")
     parts = F.split("value", marker, 2)
     codes = F.filter(F.transform(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    named = rows.select("filename", strip(F.get(parts, F.lit(0))).alias("case_text"), codes.alias("codes"), F.substring("filename", 1, 2).alias("head"))
-    sizes = named.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a head
-    return named.join(before, "head").select((F.col("before") + F.row_number().over(Window.partitionBy("head").orderBy("filename"))).alias("idx"), "filename", "case_text", "codes")
+    named = rows.select("filename", strip(F.get(parts, F.lit(0))).alias("case_text"), codes.alias("codes"))
+    ranged = kept(named.repartitionByRange("filename").withColumn("part", F.spark_partition_id()), "cases")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    return ranged.join(before, "part").select((F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("filename"))).alias("idx"), "filename", "case_text", "codes")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

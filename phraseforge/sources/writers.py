@@ -17,8 +17,8 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 
 def ids_as_json(ids: DataFrame) -> DataFrame:
-    """One line of JSON an id (key, code, label, first_seen)."""
-    return ids.select(F.to_json(F.struct("key", F.struct(*[c for c in ids.columns if c != "key"]).alias("value"))).alias("value"))
+    """A JSON map a line, key to the other columns, as readers.read_id_dictionary takes it."""
+    return ids.select(F.to_json(F.create_map("key", F.struct(*[c for c in ids.columns if c != "key"]))).alias("value"))
 
 
 def report(parts: dict[str, DataFrame]) -> DataFrame:
