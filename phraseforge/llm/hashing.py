@@ -79,7 +79,7 @@ class Block:
         return starts, ends, np.searchsorted(starts, self.bounds)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[Block]:
     """Slices of the batches with about `size` bytes of text each (one row at least; a row is never cut)."""
     for batch in batches:
         texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")

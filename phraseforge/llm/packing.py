@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 END = 1
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 #: Fixed value: how tokenizers of the CLIP family cut text.
 CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Characters that NFC keeps whatever stands beside them, and whose lower case is one letter: ASCII and the precomposed Latin letters.
