@@ -152,6 +152,7 @@ def met_again(packed: Packed, found: DataFrame | None, keys_of: Keys, n_buckets:
     """(block, places) of the places whose 64-bit key occurs at two places or more anywhere."""
 
     parts = packed.parts
+    n_tasks, n_buckets = n_buckets, 4 * n_buckets  # several to a task, so that tasks get about as much each
 
     def send(batches):
         held, size = [], 0
@@ -204,4 +205,4 @@ def met_again(packed: Packed, found: DataFrame | None, keys_of: Keys, n_buckets:
                 yield answer(block[hits], places[hits], parts)
 
     sent = packed.with_places(found).mapInArrow(send, "bucket int, decided boolean, blocks binary, places binary, keys binary")
-    return gathered(sent.repartition(n_buckets, "bucket").mapInArrow(meet, ANSWERS), parts)
+    return gathered(sent.repartition(n_tasks, "bucket").mapInArrow(meet, ANSWERS), parts)

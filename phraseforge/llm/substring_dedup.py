@@ -43,7 +43,7 @@ def later_windows(packed: Packed, window: int) -> DataFrame:
     A window is known by 96 bits of hash."""
     quarter, half = window // 4, window // 2
     parts = packed.parts
-    n_buckets = lambda symbols: parts_for(packed.n_bytes / 5.5 * symbols, 24 << 20, 4)
+    n_buckets = lambda symbols: parts_for(packed.n_bytes / 5.5 * symbols, 12 << 20, 4)
 
     def by_quarter(texts: Texts):
         symbols, _, _, first = word_hashes(texts.block)

@@ -225,7 +225,7 @@ def repeated_spans(packed: Packed, length: int) -> DataFrame:
         for x in messages(depth + 1, on):
             yield both(x, False)
 
-    found = met_again(packed, None, by_anchor, parts_for(packed.n_bytes * 12 * 2 / (length - LEVEL + 2), 24 << 20, 4))
+    found = met_again(packed, None, by_anchor, parts_for(packed.n_bytes * 12 * 2 / (length - LEVEL + 2), 12 << 20, 4))
     rows, answers = packed.with_places(found).mapInArrow(send, SCHEMA), None
     while True:
         met = materialise(rows.repartition(n_buckets, "bucket").mapInArrow(meet, f"part int, answers binary, {SCHEMA}"), "segments")
