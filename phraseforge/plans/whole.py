@@ -351,7 +351,7 @@ SELECT k AS row_id, string_agg(code, ',' ORDER BY slot) AS codes, string_agg(con
 ORACLE_SQL: dict[str, str] = {
     "c1_cascade": STEPS,
     "c4_link_lists_all_steps": LISTS,
-    "s1_runs_read_back": f"{L} SELECT run_id, case_id, code_complete, category, coalesce(consistency, '') AS consistency, match_type, depth::VARCHAR AS depth FROM l",
+    "s1_runs_read_back": f"{L} SELECT CAST(run_id AS BIGINT) AS run_id, case_id, code_complete, category, coalesce(consistency, '') AS consistency, match_type, depth::VARCHAR AS depth FROM l",
     "s2_mixed_encodings": "SELECT doc_id, concat(source, ' é') AS source, coalesce(lang, 'zz') AS lang, doc_id % 2 = 1 AS fell_back FROM documents",
     "s3_whole_file_encodings": "SELECT doc_id, concat(source, ' é') AS source, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'cp1252' END AS encoding FROM documents",
     "s4_disorders": """SELECT p_partkey::VARCHAR AS orpha_code, p_name AS name, concat(p_brand, '|', p_type) AS synonyms, concat('A', p_partkey, '.1') AS code, 'E' AS mapping_relation FROM part
