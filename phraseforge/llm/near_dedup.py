@@ -7,8 +7,8 @@ Small nodes are compared exhaustively: by sketches first, then, where these leav
 
 What keeps it in bounds: equal word sequences are one class from the start; comparing is a search through the unvisited members, so
 a group where all are alike costs one pass and gives links enough to connect it, never all pairs; a node too large for one task is
-branched on, six times at most, then dealt into chunks that all hold its smallest member. Members that this pivot does not reach are dealt
-into chunks too, and each of these meets each chunk of the node, two chunks to a task.
+branched on, six times at most, and not if four fifths of it would go to one child. It is then dealt into chunks that all hold its smallest
+member. Members that this pivot does not reach are dealt into chunks too, and each of these meets each chunk of the node, two chunks to a task.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ HASHES = 64
 TREES = 7
 CHILDREN = 3
 DEPTH = 6
-NODE = 2000
+NODE = 1000
 GROUP = 1000
+DENSE = 0.8
 with np.errstate(over="ignore"):
     FACTORS, ADDED = mix(np.arange(1, HASHES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1), mix(np.arange(1, HASHES + 1, dtype=U) * U(0xAF251AF3B0F025B5))
 
@@ -100,7 +101,7 @@ def branches(sketches: DataFrame) -> DataFrame:
 
 
 def deeper(members: DataFrame) -> DataFrame:
-    """(node, rep) of the children of large nodes; each node's hash selects its CHILDREN tokens."""
+    """(node, rep, parent, parent_size) of the children of large nodes (node, rep, size, sketch); each node's hash selects its CHILDREN tokens."""
 
     def walk(batches):
         for batch in batches:
@@ -111,9 +112,10 @@ def deeper(members: DataFrame) -> DataFrame:
                 free = HASHES - TREES
                 place = TREES + ((mix(node) % U(free)).astype(np.int64) + c * (free // CHILDREN)) % free
                 out.append(mix(node + mix(tokens[np.arange(len(node)), place].astype(U) + (place.astype(U) << U(40)))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.stack(out, 1).ravel().view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), CHILDREN))], names=["node", "rep"])
+            rep, parent, size = (pa.array(np.repeat(batch.column(c).to_numpy(), CHILDREN)) for c in ("rep", "node", "size"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.stack(out, 1).ravel().view(np.int64)), rep, parent, size], names=["node", "rep", "parent", "parent_size"])
 
-    return members.mapInArrow(walk, "node long, rep long")
+    return members.mapInArrow(walk, "node long, rep long, parent long, parent_size long")
 
 
 #: near(one, others) -> which of the others are linked with one; load(table) -> the group's members, to index with arrays
@@ -131,7 +133,7 @@ def search(members, load, near: Near, begin: np.ndarray) -> list[tuple[int, int]
         front = [int(root)]
         while front:
             one = front.pop()
-            others = np.flatnonzero(left)
+            others = np.flatnonzero(left)  # ascending
             if not len(others):
                 return links
             found = others[near(data, one, others)]
@@ -144,6 +146,8 @@ def search(members, load, near: Near, begin: np.ndarray) -> list[tuple[int, int]
 def compare(pairs: DataFrame, attach, load, near: Near, limit: int, name: str) -> DataFrame:
     """Links (node, a, b) within each node of pairs (node, rep), written: they connect all that near() links.
 
+    The links of a node that is one task are named by what they connect, node and a member; those of a node in chunks by the node.
+
     attach(rows) adds to rows (node, rep, ...) what load() reads; only then do rows get heavy, and they move once."""
     sizes = materialise(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1"), f"{name}-sizes")
     parted = pairs.join(sizes, "node").withColumn("chunks", F.ceil(F.col("size") / limit).cast("int"))
@@ -158,11 +162,14 @@ def compare(pairs: DataFrame, attach, load, near: Near, limit: int, name: str) -
                 node, split = table.column("node")[0].as_py(), chunks[0] > 1
                 # the second time from the strip of the residue that meets this chunk
                 pairs = search(table, load, near, np.flatnonzero(foreign == 1) if second else np.argsort(ids, kind="stable"))
-                out = [(node, int(ids[i]), int(ids[j]), 0) for i, j in pairs if ids[i] != ids[j]]
+                up = list(range(len(ids)))
+                for i, j in pairs:  # what a link starts from was reached before, so one pass does
+                    up[j] = up[i]
+                names = [node] * len(pairs)
+                if not split and pairs:
+                    names = mix(np.array([node], np.int64).view(U) + mix(ids[[up[i] for i, _ in pairs]].view(U))).view(np.int64).tolist()
+                out = [(name, int(ids[i]), int(ids[j]), 0) for name, (i, j) in zip(names, pairs, strict=True) if ids[i] != ids[j]]
                 if split and not second:
-                    up = list(range(len(ids)))
-                    for i, j in pairs:  # members reached from the pivot come first in the search, so one pass does
-                        up[j] = up[i]
                     root = [k for k in range(len(ids)) if ids[k] == pivot[0]]
                     top = up[root[0]] if root else -1
                     out += [(node, int(ids[k]), int(ids[k]), 1) for k in range(len(ids)) if up[k] != top and foreign[k] == 0]
@@ -200,10 +207,36 @@ def load_sketches(table: pa.Table):
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, HASHES), table.column("n").to_numpy()
 
 
-def load_sets(table: pa.Table):
-    sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-    n = np.array([len(s) for s in sets], np.int64)
-    return sets, n
+class Sets:
+    """A group's sets, and an index of their prefixes.
+
+    In any order of the tokens, two sets with the similarity share one of the first |set| - ceil(similarity * |set|) + 1 tokens of each. The
+    rarest come first (by counts in buckets of their hashes), so sets that share only what the group has in common seldom meet."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.n = sets, np.array([len(s) for s in sets], np.int64)
+        buckets = U((1 << min(20, max(8, int(self.n.sum()).bit_length() + 2))) - 1)
+        counts = np.zeros(int(buckets) + 1, np.int64)
+        for s in sets:
+            np.add.at(counts, (s & buckets).astype(np.int64), 1)
+        first = [s[np.lexsort((s, counts[(s & buckets).astype(np.int64)]))[: len(s) + (-percent * len(s) // 100) + 1]] for s in sets]
+        flat = np.concatenate(first)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+        _, self.codes = np.unique(flat, return_inverse=True)
+        order = np.argsort(self.codes, kind="stable")
+        self.members = np.repeat(np.arange(len(sets)), np.diff(self.bounds))[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.codes))])
+
+    def meeting(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Whether each of the others shares a token of its prefix with one."""
+        meets = np.zeros(len(self.n), bool)
+        for token in self.codes[self.bounds[one] : self.bounds[one + 1]]:
+            meets[self.members[self.starts[token] : self.starts[token + 1]]] = True
+        return meets[others]
+
+
+def load_sets(percent: int):
+    return lambda table: Sets([np.frombuffer(x, U) for x in table.column("shingles").to_pylist()], percent)
 
 
 def near_sketches(percent: int) -> Near:
@@ -225,11 +258,11 @@ def near_sketches(percent: int) -> Near:
 
 
 def near_sets(percent: int) -> Near:
-    """Exactly: 100 * intersection >= percent * union."""
+    """Exactly: 100 * intersection >= percent * union. Sizes, then prefixes, tell most pairs that are not."""
 
     def near(data, one, others):
-        sets, n = data
-        fits = np.flatnonzero(100 * np.minimum(n[one], n[others]) >= percent * np.maximum(n[one], n[others]))
+        sets, n = data.sets, data.n
+        fits = np.flatnonzero((100 * np.minimum(n[one], n[others]) >= percent * np.maximum(n[one], n[others])) & data.meeting(one, others))
         out = np.zeros(len(others), bool)
         for a in range(0, len(fits), 256):
             part = others[fits[a : a + 256]]
@@ -270,12 +303,17 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         rows = materialise(rows.distinct(), f"tree-{depth}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = materialise(rows.join(sizes, "node"), f"sized-{depth}")
-        large = sized.where(F.col("size") > NODE).drop("size")
+        large = sized.where(F.col("size") > NODE)
         if depth == DEPTH - 1 or not large.limit(1).count():
-            leaves.append(sized.drop("size"))
+            leaves.append(sized.select("node", "rep"))
             break
-        leaves.append(sized.where(F.col("size") <= NODE).drop("size"))
-        rows = deeper(large.join(reps, "rep"))
+        leaves.append(sized.where(F.col("size") <= NODE).select("node", "rep"))
+        children = materialise(deeper(large.join(reps, "rep")), f"children-{depth}")
+        # a node of which most go to one child is alike throughout: branching would multiply its rows and not part them
+        most = children.groupBy("parent", "parent_size", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("parent", "parent_size").agg(F.max("n").alias("n"))
+        dense = materialise(most.where(F.col("n") > DENSE * F.col("parent_size")).select("parent"), f"dense-{depth}")
+        leaves.append(large.select("node", "rep").join(dense.withColumnRenamed("parent", "node"), "node", "left_semi"))
+        rows = children.join(dense, "parent", "left_anti").select("node", "rep")
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
@@ -300,7 +338,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         fields = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
         return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(to_sets, f"{fields}, rep long, shingles binary")
 
-    return compare(inside, with_sets, load_sets, near_sets(percent), GROUP, "sets").select("a", "b").distinct()
+    return compare(inside, with_sets, load_sets(percent), near_sets(percent), GROUP, "sets").select("a", "b").distinct()
 
 
 def local_groups(links: DataFrame) -> DataFrame:
