@@ -7,7 +7,7 @@ Small nodes are compared exhaustively: by sketches first, then, where these leav
 
 What keeps it in bounds: equal word sequences are one class from the start; comparing is a search through the unvisited members, so
 a group where all are alike costs one pass and gives links enough to connect it, never all pairs; a node too large for one task is
-branched on, six times at most, and not if four fifths of it would go to one child. It is then dealt into chunks that all hold its smallest
+branched on, five times at most, and not if four fifths of it would go to one child. It is then dealt into chunks that all hold its smallest
 member. Members that this pivot does not reach are dealt into chunks too, and each of these meets each chunk of the node, two chunks to a task.
 """
 
