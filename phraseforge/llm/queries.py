@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, langid, near_dedup, packing, pii, substring_dedup, suffix_dedup, warc
+from . import chat, decontamination, fingerprints, langid, near_dedup, packing, pii, repair, substring_dedup, suffix_dedup, warc
 from .shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), 85)
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1,
     "op2_substring_dedup": op2,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8,
     "op9_suffix_dedup": op9,
     "op10_near_dedup": op10,
+    "op13_conversation_repair": op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN r ON p.h = r.h
 """,
     "op8_chat_format": chat.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
