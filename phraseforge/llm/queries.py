@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, langid, near_dedup, packing, pii, repair, substring_dedup, suffix_dedup, warc
+from . import chat, decontamination, divergence, fingerprints, langid, near_dedup, packing, pii, repair, substring_dedup, suffix_dedup, toxicity, warc
 from .shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), 85)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8,
     "op9_suffix_dedup": op9,
     "op10_near_dedup": op10,
+    "op11_source_divergence": op11,
+    "op12_toxicity": op12,
     "op13_conversation_repair": op13,
 }
 
@@ -86,5 +96,6 @@ SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN r ON p.h = r.h
 """,
     "op8_chat_format": chat.SQL,
+    "op11_source_divergence": divergence.SQL,
     "op13_conversation_repair": repair.SQL,
 }

@@ -7,9 +7,10 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from phraseforge.llm import repair
+from phraseforge.llm import divergence, repair, toxicity
 
 rng = random.Random(11)
 
@@ -109,3 +110,91 @@ def test_repair_of_nothing(spark):
     assert repair.repair_damaged(none).count() == 0
     audits, repaired = repair.repair(none)
     assert audits.count() == repaired.count() == 0
+
+
+def articles():
+    terms = ["the", "cat", "Été", "naïve", "x", "zoo", "grün", "日本", "e-mail", "don't"]
+    rows = []
+    for i in range(160):
+        text = " ".join(rng.choice(terms) + rng.choice(["", ",", ".", "!", "\u00a0y", "(A)"]) for _ in range(rng.randint(0, 40)))
+        rows.append((i, text, rng.choice(["en", "en", "de", None]), rng.choice(["s0", "s0", "s1", "s2", "É", None])))
+    rows += [(1000 + i, None, "fr", f"only{i % 3}") for i in range(5)] + [(2000, "one " * 30_000, "en", "s1"), (2001, "a" * 100_000, "en", "s2")]
+    rows += [(5, "the the THE the. the", "en", "s0")] * 40 + [(3000 + i, "", "xx", "quiet") for i in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize("size, bucket, tile", [(1 << 24, 20_000, 64), (500, 2, 1)])
+def test_divergence(spark, size, bucket, tile):
+    rows = articles()
+    docs = spark.createDataFrame([(*r, 7, "z") for r in rows], "doc_id long, text string, lang string, source string, block int, term string").repartition(5)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    names = ["lang", "source", "part", "item", "value", "rank"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({divergence.SQL})").fetchall()
+    got = [tuple(r) for r in divergence.audit(docs, size=size, bucket=bucket, tile=tile).select(*names).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[0] for r in got} == {"en", "de", "", "fr"}
+
+
+def test_divergence_of_nothing(spark):
+    assert divergence.audit(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_words_with_one_hash():
+    first, number = divergence.numbered(np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64))
+    assert len(first) == 3 and number[0] == number[3] != number[1]
+
+
+def remarks():
+    """An insult counts beside a group only, so that no sum of weights tells."""
+    rows, filler = [], [f"w{chr(97 + i)}{chr(97 + j)}ord" for i in range(12) for j in range(12)]
+    for i in range(1500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(filler) for _ in range(rng.randint(3, 25))] + ["Blockhead"] * insult + ["cyclists,"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult and group)))
+    return rows
+
+
+def test_toxicity_by_pairs(spark):
+    rows = remarks()
+    docs = spark.createDataFrame([(d, t, "x", 0.5) for d, t, _ in rows], "doc_id long, text string, lang string, score double").repartition(3)
+    labels = spark.createDataFrame([(d, 1, y) for d, _, y in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    truth = {d: y for d, _, y in rows}
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_scores_by_hand(spark):
+    """The machine's score of a text by its definition, pair by pair."""
+    rows = remarks()
+    texts = [(d, t) for d, t, _ in rows[:60]] + [(9001, None), (9002, ""), (9003, "!?"), (9004, "cyclists Blockhead " * 3000), (None, "cyclists"), (9001, None)]
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.train(docs, labels, rows=300)
+
+    def by_hand(text):
+        held = set()
+        for term in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+            code, _ = toxicity.features(next(toxicity.blocks([toxicity.pa.RecordBatch.from_pydict({"text": [term.decode()]})])))
+            held |= {int(machine.column[c]) for c in code} - {-1}
+        pairs = sum(float(machine.vectors[i] @ machine.vectors[j]) for i in held for j in held if i < j)
+        return 1 / (1 + np.exp(-(machine.bias + sum(machine.weights[i] for i in held) + pairs)))
+
+    got = toxicity.score(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, toxic int").repartition(3), machine).collect()
+    want = sorted((str(d), by_hand(t)) for d, t in texts)
+    assert len(got) == len(texts)
+    for (d, value), (e, other) in zip(sorted((str(r.doc_id), r.score) for r in got), want, strict=True):
+        assert d == e and abs(value - other) < 1e-9
+
+
+def test_toxicity_without_rows_or_labels(spark):
+    docs, labels = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    assert [tuple(r)[2:] for r in toxicity.toxicity(docs, labels).collect()] == [(0.0, 0)] * 2
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+    one_kind = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.train(docs, one_kind)).selectExpr("*", "int(score >= 0.3) predicted").collect())
