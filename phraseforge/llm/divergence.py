@@ -1,48 +1,78 @@
 """How the sources of a language differ in their terms, by chunk factorization.
 
 Chunks are what white space separates. A document's text is cut into chunks alone; a block of documents lists, for each distinct chunk,
-the documents that hold it and how often. Each chunk that occurs anywhere is cut into terms once, and the terms are joined back to
-the lists. A list then goes home to its block, where the lists of one term meet, so a document counts once for a term
-however many chunks give it. All sums are of whole numbers.
+the documents that hold it and how often. The chunks, without the lists, go to buckets by hash, where each that occurs anywhere is cut into
+terms once; its terms come back to the blocks that asked. There the lists of one term meet, so a document counts once for a
+term however many chunks give it. Lists never leave their block, so the commonest word moves as one row a block and
+group. What is exchanged is packed, a row a block and bucket. All sums are of whole numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import blocks, word_hashes
-from .shared import materialise
+from .hashing import Block, blocks, word_hashes
+from .shared import materialise, parts_for, text_bytes
 
 #: What a term is, and the letters that lose case.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT = 1_000_000_000
 #: Bytes of text and documents of a block; sources of a tile; terms of a bucket.
 BLOCK, DOCS, TILE, BUCKET = 16 << 20, 1 << 16, 64, 20_000
+#: Buckets of chunks and of terms at most: beyond 1 TB of text they grow, which tasks take piece by piece.
+MOST = 1 << 16
 
-LISTS = pa.schema([("block", pa.int64()), ("chunk", pa.string()), ("docs", pa.binary()), ("times", pa.binary()), ("groups", pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int32())])))])
+LIST = "block long, groups array<struct<lang: string, source: string, n: int>>, names binary, sizes binary, held binary, docs binary, times binary"
+ASKED = "bucket int, block long, names binary, sizes binary"
+ANSWER = "block long, bucket int, counts binary, names binary, sizes binary"
+PART = "bucket int, names binary, sizes binary, own binary, docs binary, times binary, langs array<string>, sources array<string>"
+COUNT = "lang string, source string, term string, times long, of_lang long"
+#: Names or sums that a task works on at a time.
+AT_ONCE = 1 << 22
 
 
-def numbered(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first place of each distinct word, number of each word), by its hash and, should two words share that, by another."""
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    if (check != check[first][number]).any():
-        _, first, number = np.unique(np.stack([keys, check], 1), axis=0, return_index=True, return_inverse=True)
-    return first, number.ravel()
+def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings that lie side by side."""
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Slices of an array as binary values."""
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def parts_of(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes) of strings."""
+    names = names.cast(pa.large_string())
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1] if len(names) else np.zeros(1, np.int64)
+    body = names.buffers()[2] if len(names) else None
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+    return data, np.diff(offsets)
 
 
-def chunk_lists(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(block, chunk, docs, times, groups): the documents of a block that hold a chunk, by their place in the block (uint16), and how often
-    (uint32; empty if once each). A block's row without a chunk has its groups: documents stand in order of (lang, source)."""
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each range of the given size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def spans(data: np.ndarray, bounds: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of solid bytes that lie within bounds."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    before, after = np.concatenate([[False], solid]), np.concatenate([solid, [False]])
+    return np.flatnonzero(solid & (~before[:-1] | cut[:-1])), np.flatnonzero(before & (~after | cut))
+
+
+def buckets_of(data: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """A bucket for each string; none holds white space, so each is a word."""
+    return (word_hashes(Block(None, data, np.concatenate([[0], np.cumsum(sizes)])))[0] % np.uint64(n)).astype(np.int64)
+
+
+def chunk_lists(docs: DataFrame, n_buckets: int, size: int = BLOCK) -> DataFrame:
+    """A row a block of documents: its groups (documents stand in order of (lang, source)), and its distinct chunks in order of their buckets:
+    names and sizes, how many documents hold each, which (uint16), and how often each (uint8, or uint32 if one needs it)."""
 
     def listed(batches):
         task, n_blocks = TaskContext.get().partitionId(), 0
@@ -53,79 +83,173 @@ def chunk_lists(docs: DataFrame, size: int = BLOCK) -> DataFrame:
                 order = sorted(range(len(lang)), key=lambda i: (lang[i], source[i]))
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                block_id = (task << 32) + n_blocks
-                n_blocks += 1
                 groups: list[dict] = []
                 for i in order:
                     if not groups or (groups[-1]["lang"], groups[-1]["source"]) != (lang[i], source[i]):
                         groups.append({"lang": lang[i], "source": source[i], "n": 0})
                     groups[-1]["n"] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([block_id], [None], [None], [None], [groups]), LISTS)], schema=LISTS)
-                for block in blocks([batch], "text", 1 << 62):
-                    keys, starts, ends, first_word = word_hashes(block)
-                    if not len(keys):
-                        continue
-                    first, number = numbered(keys, word_hashes(block, seed=1)[0])
-                    held = np.repeat(place, np.diff(first_word))
-                    pairs, times = np.unique((number.astype(np.int64) << 16) | held, return_counts=True)
-                    chunk = pairs >> 16
-                    bounds = np.searchsorted(chunk, np.arange(len(first) + 1))
-                    more = np.maximum.reduceat(times, bounds[:-1]) > 1
-                    kept = np.repeat(more, np.diff(bounds))
-                    own = np.concatenate([[0], np.cumsum(np.where(more, np.diff(bounds), 0))])
-                    names = binary_strings(block.data, starts[first], ends[first])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block_id)), names, binary((pairs & 0xFFFF).astype(np.uint16), bounds), binary(times[kept].astype(np.uint32), own), pa.nulls(len(first), LISTS.field("groups").type)], schema=LISTS)
+                block = next(blocks([batch], "text", 1 << 62))
+                starts, ends, first = block.words()
+                words = strings(block.data[ranges(starts, ends - starts)], ends - starts).dictionary_encode()
+                data, sizes = parts_of(words.dictionary)
+                order = np.argsort(buckets_of(data, sizes, n_buckets), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                number = words.indices.to_numpy(zero_copy_only=False)
+                pairs, times = np.unique((rank[number] << 16) | np.repeat(place, np.diff(first)), return_counts=True)
+                at = np.cumsum(sizes) - sizes
+                packed = data[ranges(at[order], sizes[order])], sizes[order].astype(np.int32), np.bincount(pairs >> 16, minlength=len(order)).astype(np.int32), (pairs & 0xFFFF).astype(np.uint16), times.astype(np.uint8 if times.max(initial=0) < 256 else np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n_blocks]), pa.array([groups], pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int32())]))), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["block", "groups", "names", "sizes", "held", "docs", "times"])
+                n_blocks += 1
 
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    return rows.mapInArrow(listed, "block long, chunk string, docs binary, times binary, groups array<struct<lang: string, source: string, n: int>>")
-
-
-def binary_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The byte ranges as strings."""
-    sizes = ends - starts
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)
-    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
-
-
-def term_counts(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, docs, times) of docs (text, lang, source), and the groups (lang, source), those without terms too."""
-    lists = materialise(chunk_lists(docs, size), "lists")
-    homes = lists.where("chunk is null").select(F.col("block").alias("home"), "groups")
-    chunks = lists.where("chunk is not null").select("block", "chunk", "docs", "times")
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    cut = chunks.select("chunk").distinct().select("chunk", terms.alias("terms")).where(F.size("terms") > 0)
-    back = chunks.join(cut, "chunk").select("block", F.explode("terms").alias("term"), "docs", "times")
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("times", pa.int64())])
-
-    def meet(own: pa.Table, home: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)])
-        groups = home.column("groups")[0].as_py()
-        names = own.column("term").combine_chunks().dictionary_encode()
+    return rows.mapInArrow(listed, LIST)
+
+
+def asked(lists: DataFrame, n_buckets: int) -> DataFrame:
+    """Each block's chunks by bucket."""
+
+    def dealt(batches):
+        for batch in batches:
+            for block, names, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "names", "sizes"))):
+                names, sizes = np.frombuffer(names, np.uint8), np.frombuffer(sizes, np.int32)
+                bucket = buckets_of(names, sizes.astype(np.int64), n_buckets)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "block": pa.array(np.full(len(cuts) - 1, block)), "names": pa.array([names[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), "sizes": pa.array([sizes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+    return lists.select("block", "names", "sizes").mapInArrow(dealt, ASKED)
+
+
+def by_bucket(batches, columns: list[str], count, at_once: int):
+    """Lists of rows of one bucket, of rows that come in its order; a list ends early if its rows count `at_once` or more."""
+    rows, n = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if rows and (row[0] != rows[0][0] or n >= at_once):
+                yield rows
+                rows, n = [], 0
+            rows.append(row)
+            n += count(row)
+    if rows:
+        yield rows
+
+
+def answered(questions: DataFrame, n_buckets: int, at_once: int) -> DataFrame:
+    """The terms of each block's chunks of a bucket, in order. A bucket's distinct chunks are cut into terms once."""
+    solid, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+    solid[65:91] = solid[97:123] = solid[128:] = True  # TERM, in the bytes of UTF-8
+    lower[65:91] += 32
+
+    def cut(batches):
+        for rows in by_bucket(batches, ["bucket", "block", "names", "sizes"], lambda r: len(r[3]) // 4, at_once):
+            sizes = np.frombuffer(b"".join(r[3] for r in rows), np.int32)
+            chunks = strings(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), sizes).dictionary_encode()
+            data, own = parts_of(chunks.dictionary)
+            bounds = np.concatenate([[0], np.cumsum(own)])
+            starts, ends = spans(data, bounds, solid[data])
+            first = np.searchsorted(starts, bounds)
+            code = chunks.indices.to_numpy(zero_copy_only=False)
+            counts, low, length, at = np.diff(first), lower[data], ends - starts, 0
+            out: list[list] = []
+            for bucket, block, _, raw in rows:
+                mine = code[at : at + len(raw) // 4]
+                at += len(mine)
+                terms = ranges(first[mine], counts[mine])
+                out.append([block, bucket, counts[mine].astype(np.int32).tobytes(), low[ranges(starts[terms], length[terms])].tobytes(), length[terms].astype(np.int32).tobytes()])
+            for i in range(0, len(out), 500):
+                columns = zip(*out[i : i + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "bucket", "counts", "names", "sizes"])
+
+    return questions.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(cut, ANSWER)
+
+
+def block_counts(answers: DataFrame, lists: DataFrame, n_buckets: int) -> DataFrame:
+    """Sums of each block by term and group, dealt by term: a document that gives a term by several chunks holds it once."""
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("names", "sizes", "own", "docs", "times")), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string()))])
+
+    def meet(terms: pa.Table, home: pa.Table) -> pa.Table:
+        terms, home = terms.sort_by("bucket"), home.to_pylist()[0]
+        joined = lambda c, kind: np.frombuffer(b"".join(terms.column(c).to_pylist()), kind)
+        per_chunk, sizes = joined("counts", np.int32), joined("sizes", np.int32)
+        names = strings(joined("names", np.uint8), sizes).dictionary_encode()
         number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        raw, times = (b"".join(own.column(c).to_pylist()) for c in ("docs", "times"))
-        sizes = np.array([len(x) // 2 for x in own.column("docs").to_pylist()])
-        once = np.array([not x for x in own.column("times").to_pylist()])
-        n = np.ones(sizes.sum(), np.int64)
-        n[np.repeat(~once, sizes)] = np.frombuffer(times, np.uint32)
-        ends = np.cumsum([g["n"] for g in groups])
-        doc = np.frombuffer(raw, np.uint16).astype(np.int64)
-        key = (np.repeat(number, sizes) << 16) | doc
+        held, docs, groups = np.frombuffer(home["held"], np.int32).astype(np.int64), np.frombuffer(home["docs"], np.uint16).astype(np.int64), home["groups"]
+        times = np.frombuffer(home["times"], np.uint8 if len(home["times"]) == len(docs) else np.uint32).astype(np.int64)
+        chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
+        at = ranges((np.cumsum(held) - held)[chunk], held[chunk])
+        key = (np.repeat(number, held[chunk]) << 16) | docs[at]
         order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a row a term and document
-        n, key = np.add.reduceat(n, new), key[new]
-        by = (key >> 16) * len(groups) + np.searchsorted(ends, key & 0xFFFF, "right")
-        new = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
-        held, times = np.diff(np.append(new, len(by))), np.add.reduceat(n, new)
-        group = by[new] % len(groups)
-        lang, source = (pa.array([g[c] for g in groups], pa.string()).take(pa.array(group)) for c in ("lang", "source"))
-        return pa.Table.from_arrays([lang, source, names.dictionary.take(pa.array(by[new] // len(groups))), pa.array(held, pa.int64()), pa.array(times, pa.int64())], schema=schema)
-
-    met = back.groupBy("block").cogroup(homes.groupBy("home")).applyInArrow(meet, "lang string, source string, term string, docs long, times long")
-    counted = met.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
-    return counted, homes.select(F.explode("groups").alias("g")).select("g.lang", "g.source").distinct()
+        key, n = key[order], times[at][order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))  # a place a term and document
+        key, n = key[new], np.add.reduceat(n, new) if len(new) else n
+        group = np.searchsorted(np.cumsum([g["n"] for g in groups]), key & 0xFFFF, "right")
+        by = (key >> 16) * len(groups) + group
+        new = np.flatnonzero(np.diff(by, prepend=-1))  # and one a term and group
+        n, seen, by = np.add.reduceat(n, new) if len(new) else n, np.diff(np.append(new, len(by))), by[new]
+        term, group = by // len(groups), by % len(groups)
+        data, sizes = parts_of(names.dictionary)
+        bucket = buckets_of(data, sizes, n_buckets)
+        order = np.argsort(bucket[term], kind="stable")
+        return pa.Table.from_batches([pack(schema, data, sizes, term[order], bucket[term][order], group[order], seen[order], n[order], groups)])
+
+    homes = lists.select(F.col("block").alias("home"), "groups", "held", "docs", "times")
+    return answers.groupBy("block").cogroup(homes.groupBy("home")).applyInArrow(meet, PART)
+
+
+def pack(schema: pa.Schema, data, sizes, term, bucket, group, docs, times, groups) -> pa.RecordBatch:
+    """A row a bucket; entries come in order of buckets."""
+    at, rows = np.cumsum(sizes) - sizes, []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, cuts[1:]):
+        mine, own = np.unique(group[a:b], return_inverse=True)
+        t = term[a:b]
+        rows.append((int(bucket[a]), data[ranges(at[t], sizes[t])].tobytes(), sizes[t].astype(np.int32).tobytes(), own.astype(np.int32).tobytes(), docs[a:b].astype(np.int64).tobytes(), times[a:b].astype(np.int64).tobytes(), [groups[g]["lang"] for g in mine], [groups[g]["source"] for g in mine]))
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def kept_counts(parts: DataFrame, n_buckets: int, least: int, at_once: int) -> DataFrame:
+    """(lang, source, term, times, of_lang) of the terms that `least` documents of a language hold. Sums are folded as they come in, so
+    a task holds no more than a bucket's distinct terms by group."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("times", pa.int64()), ("of_lang", pa.int64())])
+
+    def fold(rows: list, before: pa.Table | None) -> pa.Table:
+        names = strings(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), np.frombuffer(b"".join(r[2] for r in rows), np.int32))
+        number: dict[tuple, int] = {}
+        mapped = [np.array([number.setdefault(g, len(number)) for g in zip(r[6], r[7])], np.int64)[np.frombuffer(r[3], np.int32)] for r in rows]
+        group = pa.array(np.concatenate(mapped))
+        lang, source = (pa.array([g[i] for g in number], pa.string()).take(group) for i in (0, 1))
+        docs, times = (pa.array(np.frombuffer(b"".join(r[i] for r in rows), np.int64)) for i in (4, 5))
+        new = pa.table({"lang": lang, "source": source, "term": names, "docs": docs, "times": times})
+        both = new if before is None else pa.concat_tables([before, new])
+        return both.group_by(["lang", "source", "term"]).aggregate([("docs", "sum"), ("times", "sum")]).rename_columns(["lang", "source", "term", "docs", "times"])
+
+    def close(table: pa.Table):
+        langs = table.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("times", "sum")]).rename_columns(["lang", "term", "of_docs", "of_lang"])
+        many = langs.filter(pc.greater_equal(langs.column("of_docs"), least)).drop_columns(["of_docs"])
+        yield from table.join(many, ["lang", "term"], join_type="inner", use_threads=False).select(schema.names).cast(schema).to_batches(max_chunksize=10_000)
+
+    def counted(batches):
+        bucket, table = None, None
+        for rows in by_bucket(batches, schema_of_part, lambda r: len(r[3]) // 4, at_once):
+            if bucket is not None and rows[0][0] != bucket:
+                yield from close(table)
+                table = None
+            bucket, table = rows[0][0], fold(rows, table)
+        if table is not None:
+            yield from close(table)
+
+    schema_of_part = [c.split()[0] for c in PART.split(", ")]
+    return parts.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, COUNT)
+
+
+def term_counts(docs: DataFrame, least: int, size: int = BLOCK, at_once: int = AT_ONCE) -> DataFrame:
+    """(lang, source, term, times, of_lang) of docs (text, lang, source): how often each source, and its language, says each kept term."""
+    n_buckets = min(MOST, parts_for(text_bytes(docs), size))
+    lists = materialise(chunk_lists(docs, n_buckets, size), "lists")
+    answers = answered(asked(lists, n_buckets), n_buckets, at_once)
+    return kept_counts(block_counts(answers, lists, n_buckets), n_buckets, least, at_once)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -139,17 +263,15 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def audit(docs: DataFrame, least: int = 10, top: int = 10, size: int = BLOCK, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+def audit(docs: DataFrame, least: int = 10, top: int = 10, size: int = BLOCK, bucket: int = BUCKET, tile: int = TILE, at_once: int = AT_ONCE) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from every other of its language (part `pair`), and by which terms it
     stands out from its language (part `term`, the first `top`).
 
     docs: text, lang, source (null: empty); other columns are not read, and a row is a document even if it repeats another. A language
     keeps the terms that `least` of its documents hold. Ties go by item. A language with one source has no pairs; where no term is kept
     pairs have value 0. An empty table gives no rows."""
-    counted, groups = term_counts(docs, size)
-    counted, groups = materialise(counted, "counts"), materialise(groups, "groups")
-    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("of_lang")).where(F.col("docs") >= least).drop("docs")
-    rows = materialise(counted.drop("docs").join(kept, ["lang", "term"]), "kept")
+    groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
+    rows = materialise(term_counts(docs, least, size, at_once), "kept")
     langs = rows.groupBy("lang", "term").agg(F.first("of_lang").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n_lang"))
     totals = rows.groupBy("lang", "source").agg(F.sum("times").alias("n"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "n_lang")]

@@ -268,7 +268,7 @@ def repair(conversations: DataFrame, size: int = 4 << 20) -> tuple[DataFrame, Da
     audits: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit. repaired: conv_id, at, seq (together the order), role, text."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
     rows, slim = placed(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text")), size)
-    planned = materialise(plans(segments(slim)), "scripts")
+    planned = materialise(plans(materialise(segments(slim), "segments")), "scripts")
     counted = lambda c: F.sum(c).alias(c)
     kinds = ["blank", "duplicate", "truncated"]
     by_turn = slim.groupBy("conv_id", "turn").agg(*(F.sum(F.col(k).cast("long")).alias(k) for k in kinds))

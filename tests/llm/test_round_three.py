@@ -123,8 +123,8 @@ def articles():
     return rows
 
 
-@pytest.mark.parametrize("size, bucket, tile", [(1 << 24, 20_000, 64), (500, 2, 1)])
-def test_divergence(spark, size, bucket, tile):
+@pytest.mark.parametrize("size, bucket, tile, at_once", [(1 << 24, 20_000, 64, 1 << 22), (3000, 2, 1, 50)])
+def test_divergence(spark, size, bucket, tile, at_once):
     rows = articles()
     docs = spark.createDataFrame([(*r, 7, "z") for r in rows], "doc_id long, text string, lang string, source string, block int, term string").repartition(5)
     con = duckdb.connect()
@@ -132,7 +132,7 @@ def test_divergence(spark, size, bucket, tile):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
     names = ["lang", "source", "part", "item", "value", "rank"]
     want = con.execute(f"SELECT {', '.join(names)} FROM ({divergence.SQL})").fetchall()
-    got = [tuple(r) for r in divergence.audit(docs, size=size, bucket=bucket, tile=tile).select(*names).collect()]
+    got = [tuple(r) for r in divergence.audit(docs, size=size, bucket=bucket, tile=tile, at_once=at_once).select(*names).collect()]
     assert sorted(got) == sorted(want)
     assert {r[0] for r in got} == {"en", "de", "", "fr"}
 
@@ -141,11 +141,6 @@ def test_divergence_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
-def test_words_with_one_hash():
-    first, number = divergence.numbered(np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64))
-    assert len(first) == 3 and number[0] == number[3] != number[1]
-
-
 def remarks():
     """An insult counts beside a group only, so that no sum of weights tells."""
     rows, filler = [], [f"w{chr(97 + i)}{chr(97 + j)}ord" for i in range(12) for j in range(12)]
