@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ from .shared import materialise, parts_for, text_bytes
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 #: Bytes of text and documents of a block; sources of a tile; terms of a bucket.
-BLOCK, DOCS, TILE, BUCKET = 16 << 20, 1 << 16, 64, 20_000
-#: Buckets of chunks and of terms at most: beyond 1 TB of text they grow, which tasks take piece by piece.
+BLOCK, DOCS, TILE, BUCKET = 8 << 20, 1 << 16, 64, 20_000
+#: Buckets of chunks and of terms at most: beyond 500 GB of text they grow, which tasks take piece by piece.
 MOST = 1 << 16
 
 LIST = "block long, groups array<struct<lang: string, source: string, n: int>>, names binary, sizes binary, held binary, docs binary, times binary"
@@ -33,7 +32,7 @@ ANSWER = "block long, bucket int, counts binary, names binary, sizes binary"
 PART = "bucket int, names binary, sizes binary, own binary, docs binary, times binary, langs array<string>, sources array<string>"
 COUNT = "lang string, source string, term string, times long, of_lang long"
 #: Names or sums that a task works on at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -214,31 +213,46 @@ def kept_counts(parts: DataFrame, n_buckets: int, least: int, at_once: int) -> D
     a task holds no more than a bucket's distinct terms by group."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("times", pa.int64()), ("of_lang", pa.int64())])
 
-    def fold(rows: list, before: pa.Table | None) -> pa.Table:
+    def fold(rows: list, number: dict[tuple, int], before: tuple | None) -> tuple:
+        """(terms, group, docs, times), a place a term and group; number: of each group, grows."""
+        own = [np.array([number.setdefault(g, len(number)) for g in zip(r[6], r[7])], np.int64)[np.frombuffer(r[3], np.int32)] for r in rows]
         names = strings(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), np.frombuffer(b"".join(r[2] for r in rows), np.int32))
-        number: dict[tuple, int] = {}
-        mapped = [np.array([number.setdefault(g, len(number)) for g in zip(r[6], r[7])], np.int64)[np.frombuffer(r[3], np.int32)] for r in rows]
-        group = pa.array(np.concatenate(mapped))
-        lang, source = (pa.array([g[i] for g in number], pa.string()).take(group) for i in (0, 1))
-        docs, times = (pa.array(np.frombuffer(b"".join(r[i] for r in rows), np.int64)) for i in (4, 5))
-        new = pa.table({"lang": lang, "source": source, "term": names, "docs": docs, "times": times})
-        both = new if before is None else pa.concat_tables([before, new])
-        return both.group_by(["lang", "source", "term"]).aggregate([("docs", "sum"), ("times", "sum")]).rename_columns(["lang", "source", "term", "docs", "times"])
-
-    def close(table: pa.Table):
-        langs = table.group_by(["lang", "term"]).aggregate([("docs", "sum"), ("times", "sum")]).rename_columns(["lang", "term", "of_docs", "of_lang"])
-        many = langs.filter(pc.greater_equal(langs.column("of_docs"), least)).drop_columns(["of_docs"])
-        yield from table.join(many, ["lang", "term"], join_type="inner", use_threads=False).select(schema.names).cast(schema).to_batches(max_chunksize=10_000)
+        group, docs, times = np.concatenate(own), *(np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in (4, 5))
+        if before is not None:
+            names = pa.concat_arrays([before[0], names])
+            group, docs, times = (np.concatenate(x) for x in zip(before[1:], (group, docs, times)))
+        names = names.dictionary_encode()
+        key = (names.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | group
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        docs, times = (np.add.reduceat(x[order], new) for x in (docs, times))
+        return names.dictionary.take(pa.array(key[new] >> 32)), key[new] & 0xFFFFFFFF, docs, times
+
+    def close(number: dict[tuple, int], sums: tuple):
+        terms, group, docs, times = sums
+        langs: dict[str, int] = {}
+        of_group = np.array([langs.setdefault(lang, len(langs)) for lang, _ in number])
+        codes = terms.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, both = np.unique(codes * len(langs) + of_group[group], return_inverse=True)
+        many, total = (np.zeros(both.max(initial=-1) + 1, np.int64) for _ in range(2))
+        np.add.at(many, both, docs)
+        np.add.at(total, both, times)
+        stay = np.flatnonzero(many[both] >= least)
+        for at in range(0, len(stay), 10_000):
+            mine = stay[at : at + 10_000]
+            lang, source = (pa.array([g[i] for g in number], pa.string()).take(pa.array(group[mine])) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([lang, source, terms.take(pa.array(mine)).cast(pa.string()), pa.array(times[mine]), pa.array(total[both[mine]])], schema=schema)
 
     def counted(batches):
-        bucket, table = None, None
+        bucket, number, sums = None, {}, None
         for rows in by_bucket(batches, schema_of_part, lambda r: len(r[3]) // 4, at_once):
             if bucket is not None and rows[0][0] != bucket:
-                yield from close(table)
-                table = None
-            bucket, table = rows[0][0], fold(rows, table)
-        if table is not None:
-            yield from close(table)
+                yield from close(number, sums)
+                number, sums = {}, None
+            bucket, sums = rows[0][0], fold(rows, number, sums)
+        if sums is not None:
+            yield from close(number, sums)
 
     schema_of_part = [c.split()[0] for c in PART.split(", ")]
     return parts.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, COUNT)
