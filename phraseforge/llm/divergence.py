@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import Block, blocks, word_hashes
+from .hashing import SPACE, Block, blocks, word_hashes
 from .shared import materialise, parts_for, text_bytes
 
 #: What a term is, and the letters that lose case.
@@ -50,6 +50,16 @@ def parts_of(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets)
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each that hold the largest, which the first byte tells."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def wide(raws: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(raw, f"u{raw[0]}", offset=1) for raw in raws] or [[]]).astype(np.int64)
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for each range of the given size."""
     ends = np.cumsum(sizes)
@@ -71,7 +81,7 @@ def buckets_of(data: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 
 def chunk_lists(docs: DataFrame, n_buckets: int, size: int = BLOCK) -> DataFrame:
     """A row a block of documents: its groups (documents stand in order of (lang, source)), and its distinct chunks in order of their buckets:
-    names and sizes, how many documents hold each, which (uint16), and how often each (uint8, or uint32 if one needs it)."""
+    names and sizes, how many documents hold each, which, and how often each."""
 
     def listed(batches):
         task, n_blocks = TaskContext.get().partitionId(), 0
@@ -89,16 +99,15 @@ def chunk_lists(docs: DataFrame, n_buckets: int, size: int = BLOCK) -> DataFrame
                     groups[-1]["n"] += 1
                 block = next(blocks([batch], "text", 1 << 62))
                 starts, ends, first = block.words()
-                words = strings(block.data[ranges(starts, ends - starts)], ends - starts).dictionary_encode()
-                data, sizes = parts_of(words.dictionary)
-                order = np.argsort(buckets_of(data, sizes, n_buckets), kind="stable")
+                words = strings(block.data[~SPACE[block.data]], ends - starts).dictionary_encode()
+                order = np.argsort(buckets_of(*parts_of(words.dictionary), n_buckets), kind="stable")
+                data, sizes = parts_of(words.dictionary.take(pa.array(order)))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 number = words.indices.to_numpy(zero_copy_only=False)
                 pairs, times = np.unique((rank[number] << 16) | np.repeat(place, np.diff(first)), return_counts=True)
-                at = np.cumsum(sizes) - sizes
-                packed = data[ranges(at[order], sizes[order])], sizes[order].astype(np.int32), np.bincount(pairs >> 16, minlength=len(order)).astype(np.int32), (pairs & 0xFFFF).astype(np.uint16), times.astype(np.uint8 if times.max(initial=0) < 256 else np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n_blocks]), pa.array([groups], pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int32())]))), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["block", "groups", "names", "sizes", "held", "docs", "times"])
+                packed = [data.tobytes(), *map(narrow, (sizes, np.bincount(pairs >> 16, minlength=len(order)), pairs & 0xFFFF, times))]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n_blocks]), pa.array([groups], pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int32())]))), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "groups", "names", "sizes", "held", "docs", "times"])
                 n_blocks += 1
 
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
@@ -111,11 +120,11 @@ def asked(lists: DataFrame, n_buckets: int) -> DataFrame:
     def dealt(batches):
         for batch in batches:
             for block, names, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "names", "sizes"))):
-                names, sizes = np.frombuffer(names, np.uint8), np.frombuffer(sizes, np.int32)
-                bucket = buckets_of(names, sizes.astype(np.int64), n_buckets)
+                names, sizes = np.frombuffer(names, np.uint8), wide([sizes])
+                bucket = buckets_of(names, sizes, n_buckets)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "block": pa.array(np.full(len(cuts) - 1, block)), "names": pa.array([names[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), "sizes": pa.array([sizes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+                ends = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "block": pa.array(np.full(len(cuts) - 1, block)), "names": pa.array([names[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), "sizes": pa.array([narrow(sizes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
     return lists.select("block", "names", "sizes").mapInArrow(dealt, ASKED)
 
@@ -141,8 +150,9 @@ def answered(questions: DataFrame, n_buckets: int, at_once: int) -> DataFrame:
     lower[65:91] += 32
 
     def cut(batches):
-        for rows in by_bucket(batches, ["bucket", "block", "names", "sizes"], lambda r: len(r[3]) // 4, at_once):
-            sizes = np.frombuffer(b"".join(r[3] for r in rows), np.int32)
+        for rows in by_bucket(batches, ["bucket", "block", "names", "sizes"], lambda r: len(r[3]), at_once):
+            each = [wide([r[3]]) for r in rows]
+            sizes = np.concatenate(each)
             chunks = strings(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), sizes).dictionary_encode()
             data, own = parts_of(chunks.dictionary)
             bounds = np.concatenate([[0], np.cumsum(own)])
@@ -151,11 +161,11 @@ def answered(questions: DataFrame, n_buckets: int, at_once: int) -> DataFrame:
             code = chunks.indices.to_numpy(zero_copy_only=False)
             counts, low, length, at = np.diff(first), lower[data], ends - starts, 0
             out: list[list] = []
-            for bucket, block, _, raw in rows:
-                mine = code[at : at + len(raw) // 4]
+            for (bucket, block, _, _), own in zip(rows, each):
+                mine = code[at : at + len(own)]
                 at += len(mine)
                 terms = ranges(first[mine], counts[mine])
-                out.append([block, bucket, counts[mine].astype(np.int32).tobytes(), low[ranges(starts[terms], length[terms])].tobytes(), length[terms].astype(np.int32).tobytes()])
+                out.append([block, bucket, narrow(counts[mine]), low[ranges(starts[terms], length[terms])].tobytes(), narrow(length[terms])])
             for i in range(0, len(out), 500):
                 columns = zip(*out[i : i + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "bucket", "counts", "names", "sizes"])
@@ -169,12 +179,11 @@ def block_counts(answers: DataFrame, lists: DataFrame, n_buckets: int) -> DataFr
 
     def meet(terms: pa.Table, home: pa.Table) -> pa.Table:
         terms, home = terms.sort_by("bucket"), home.to_pylist()[0]
-        joined = lambda c, kind: np.frombuffer(b"".join(terms.column(c).to_pylist()), kind)
-        per_chunk, sizes = joined("counts", np.int32), joined("sizes", np.int32)
-        names = strings(joined("names", np.uint8), sizes).dictionary_encode()
+        per_chunk, sizes = (wide(terms.column(c).to_pylist()) for c in ("counts", "sizes"))
+        names = strings(np.frombuffer(b"".join(terms.column("names").to_pylist()), np.uint8), sizes).dictionary_encode()
         number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        held, docs, groups = np.frombuffer(home["held"], np.int32).astype(np.int64), np.frombuffer(home["docs"], np.uint16).astype(np.int64), home["groups"]
-        times = np.frombuffer(home["times"], np.uint8 if len(home["times"]) == len(docs) else np.uint32).astype(np.int64)
+        held, docs, times = (wide([home[c]]) for c in ("held", "docs", "times"))
+        groups = home["groups"]
         chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
         at = ranges((np.cumsum(held) - held)[chunk], held[chunk])
         key = (np.repeat(number, held[chunk]) << 16) | docs[at]
@@ -203,7 +212,7 @@ def pack(schema: pa.Schema, data, sizes, term, bucket, group, docs, times, group
     for a, b in zip(cuts, cuts[1:]):
         mine, own = np.unique(group[a:b], return_inverse=True)
         t = term[a:b]
-        rows.append((int(bucket[a]), data[ranges(at[t], sizes[t])].tobytes(), sizes[t].astype(np.int32).tobytes(), own.astype(np.int32).tobytes(), docs[a:b].astype(np.int64).tobytes(), times[a:b].astype(np.int64).tobytes(), [groups[g]["lang"] for g in mine], [groups[g]["source"] for g in mine]))
+        rows.append((int(bucket[a]), data[ranges(at[t], sizes[t])].tobytes(), *map(narrow, (sizes[t], own, docs[a:b], times[a:b])), [groups[g]["lang"] for g in mine], [groups[g]["source"] for g in mine]))
     columns = zip(*rows) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -215,9 +224,9 @@ def kept_counts(parts: DataFrame, n_buckets: int, least: int, at_once: int) -> D
 
     def fold(rows: list, number: dict[tuple, int], before: tuple | None) -> tuple:
         """(terms, group, docs, times), a place a term and group; number: of each group, grows."""
-        own = [np.array([number.setdefault(g, len(number)) for g in zip(r[6], r[7])], np.int64)[np.frombuffer(r[3], np.int32)] for r in rows]
-        names = strings(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), np.frombuffer(b"".join(r[2] for r in rows), np.int32))
-        group, docs, times = np.concatenate(own), *(np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in (4, 5))
+        own = [np.array([number.setdefault(g, len(number)) for g in zip(r[6], r[7])], np.int64)[wide([r[3]])] for r in rows]
+        names = strings(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), wide([r[2] for r in rows]))
+        group, docs, times = np.concatenate(own), *(wide([r[i] for r in rows]) for i in (4, 5))
         if before is not None:
             names = pa.concat_arrays([before[0], names])
             group, docs, times = (np.concatenate(x) for x in zip(before[1:], (group, docs, times)))
@@ -246,7 +255,7 @@ def kept_counts(parts: DataFrame, n_buckets: int, least: int, at_once: int) -> D
 
     def counted(batches):
         bucket, number, sums = None, {}, None
-        for rows in by_bucket(batches, schema_of_part, lambda r: len(r[3]) // 4, at_once):
+        for rows in by_bucket(batches, schema_of_part, lambda r: len(r[3]), at_once):
             if bucket is not None and rows[0][0] != bucket:
                 yield from close(number, sums)
                 number, sums = {}, None
