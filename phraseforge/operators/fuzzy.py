@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from . import grams
+
 #: Distinct phrases and terms of a group.
 ASKED, KNOWN = 500, 4000
 PAIRS = "phrase string, term string, pos long, scorer string, score double"
@@ -100,6 +103,12 @@ def bounds(scorer: str, common: np.ndarray, length: int, lengths: np.ndarray) ->
     raise ValueError(scorer)
 
 
+def sorted_length(text: str) -> int:
+    """Length of the text's words with one space between: no more than its own."""
+    words = text.split()
+    return sum(map(len, words)) + max(len(words) - 1, 0)
+
+
 def set_length(text: str) -> int:
     words = set(text.split())
     return sum(map(len, words)) + max(len(words) - 1, 0)
@@ -112,7 +121,7 @@ def score_block(phrases: list[str], terms: list[tuple[int, str]], scorers: list[
     the ratio of their sorted words, so letters bound them too."""
     texts, pos = [x for _, x in terms], np.array([p for p, _ in terms])
     counts, lengths = letter_counts(texts), np.array([len(x) for x in texts])
-    set_lengths = np.array([set_length(x) for x in texts])
+    set_lengths, sorted_lengths = np.array([set_length(x) for x in texts]), np.array([sorted_length(x) for x in texts])
     words: dict[str, list[int]] = {}
     for i, text in enumerate(texts):
         for w in set(text.split()):
@@ -123,14 +132,14 @@ def score_block(phrases: list[str], terms: list[tuple[int, str]], scorers: list[
         for w in set(phrase.split()):
             shares[words.get(w, [])] = True
         for scorer in scorers:
-            plain = bounds("token_sort", common, len(phrase), lengths)
+            plain = bounds("token_sort", common, sorted_length(phrase), sorted_lengths)
             sets = np.where(shares, 100.0, np.minimum(100.0, bounds("token_sort", common, set_length(phrase), set_lengths)))
             if scorer == "mixed":
                 wide = np.maximum(len(phrase), lengths) >= 1.5 * np.minimum(len(phrase), lengths)
                 part = bounds("partial", common, len(phrase), lengths)
                 most = np.maximum(np.maximum(plain, 0.95 * sets), np.where(wide, 0.9 * part, 0.0))
             else:
-                most = sets if scorer == "token_set" else bounds(scorer, common, len(phrase), lengths)
+                most = sets if scorer == "token_set" else plain if scorer == "token_sort" else bounds(scorer, common, len(phrase), lengths)
             order = np.lexsort((pos, -most))
             best: list[tuple[float, int, int]] = []
             for i in order[: np.searchsorted(-most[order], -threshold + 1e-9, side="right")]:
@@ -168,14 +177,55 @@ def similar(phrases: DataFrame, terms: DataFrame, scorers: list[str], threshold:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def similar_by_grams(phrases: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
+    """(phrase, term, pos, score): all terms (term, pos) at the threshold or more by sorted words, of phrases that grams.indexable takes.
+
+    Texts with the same sorted words are one form; forms meet by the index, and each pair that it gives is scored once."""
+    form = lambda df, c: df.select(c, *(["pos"] if c == "term" else []), grams.sorted_words(F.col(c)).alias("form")).withColumn("n", F.length("form"))
+    asked, known = form(phrases, "phrase"), form(terms, "term")
+
+    @F.pandas_udf("double")
+    def score(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        return pd.Series([ratio(a, b) for a, b in zip(ours, theirs)], dtype=float)
+
+    met = grams.candidates(*(x.select("form", "n").distinct() for x in (asked, known)), threshold)
+    scored = met.withColumn("score", score("phrase_form", "term_form")).where(F.col("score") >= threshold)
+    return asked.select("phrase", F.col("form").alias("phrase_form")).join(scored, "phrase_form").join(known.select("term", "pos", F.col("form").alias("term_form")), "term_form").select("phrase", "term", "pos", "score")
+
+
+def closest(phrases: DataFrame, terms: DataFrame, threshold: float, k: int, index_from: float) -> DataFrame:
+    """(phrase, term, pos, score, rank): the k most similar terms by sorted words, at the threshold or more; ties by pos.
+
+    First by the index at `index_from`. Phrases for which that gives k terms have their best ones; the others, and those too short for the
+    index, meet all terms that are not too long for them, if the threshold is lower or they are short."""
+    asked = kept(phrases.where("phrase <> ''").select("phrase").distinct().withColumn("n", F.length(grams.sorted_words(F.col("phrase")))), "asked")
+    known = kept(terms.where("term <> ''").groupBy("term").agg(F.min("pos").cast("long").alias("pos")), "known")
+    order = Window.partitionBy("phrase").orderBy(F.desc("score"), "pos")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    long = grams.indexable(F.col("n"), index_from)
+    found = kept(ranked(similar_by_grams(asked.where(long), known, index_from)), "closest")
+    rest, within = asked.where(~long), known
+    if threshold < index_from:
+        full = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= k)
+        rest = asked.join(full, "phrase", "left_anti")
+        found = found.join(full, "phrase", "left_semi")
+    else:
+        most = rest.agg(F.max("n").alias("n")).first()["n"]
+        if most is None:
+            return found
+        share = threshold / 100
+        within = known.withColumn("n", F.length(grams.sorted_words(F.col("term")))).where(F.col("n") <= F.ceil(F.lit(most) * (2 - share) / share)).drop("n")
+    return found.unionByName(similar(rest.select("phrase"), within, ["token_sort"], threshold, k).select("phrase", "term", "pos", "score", "rank"))
+
+
 def best_match(phrases: DataFrame, terms: DataFrame, threshold: float = 85.0) -> DataFrame:
     """(phrase, term, pos, score): the most similar term by sorted words, at the threshold or more."""
-    return similar(phrases, terms, ["token_sort"], threshold, 1).select("phrase", "term", "pos", "score")
+    return closest(phrases, terms, threshold, 1, threshold).select("phrase", "term", "pos", "score")
 
 
-def candidate_names(phrases: DataFrame, terms: DataFrame, threshold: float = 60.0, k: int = 5) -> DataFrame:
+def candidate_names(phrases: DataFrame, terms: DataFrame, threshold: float = 60.0, k: int = 5, index_from: float = 85.0) -> DataFrame:
     """(phrase, name, rank): distinct names of the k best terms (term, pos, name), in order of their first rank."""
-    hits = similar(phrases, terms, ["token_sort"], threshold, k).join(terms.groupBy("term").agg(F.min_by("name", "pos").alias("name")), "term")
+    hits = closest(phrases, terms, threshold, k, max(threshold, index_from)).join(terms.groupBy("term").agg(F.min_by("name", "pos").alias("name")), "term")
     first = hits.groupBy("phrase", "name").agg(F.min("rank").alias("at"))
     return first.select("phrase", "name", F.row_number().over(Window.partitionBy("phrase").orderBy("at")).alias("rank"))
 
