@@ -77,12 +77,13 @@ def most_unstable(stability: DataFrame, n: int = 20) -> DataFrame:
 
 
 def nf_drift(ledger: DataFrame) -> DataFrame:
-    """Per run against run 1: not-found cases, shared, only here, only in run 1."""
+    """Per run against run 1: not-found cases, shared, only here, only in run 1; every run of the ledger, with zeros where it lacks none."""
     nf = ledger.where(is_nf(F.col("category"))).select("run_id", "case_id").distinct()
     one = nf.where("run_id = 1").select("case_id", F.lit(True).alias("in_first"))
     total = one.agg(F.count(F.lit(1)).alias("n_first"))
     per = nf.join(one, "case_id", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_nf"), F.count("in_first").alias("n_shared"))
-    return per.join(F.broadcast(total), how="cross").select("run_id", "n_nf", "n_shared", (F.col("n_nf") - F.col("n_shared")).alias("n_only_here"), (F.col("n_first") - F.col("n_shared")).alias("n_only_first"))  # one row
+    every = ledger.select("run_id").distinct().join(per, "run_id", "left").na.fill(0, ["n_nf", "n_shared"])
+    return every.join(F.broadcast(total), how="cross").select("run_id", "n_nf", "n_shared", (F.col("n_nf") - F.col("n_shared")).alias("n_only_here"), (F.col("n_first") - F.col("n_shared")).alias("n_only_first"))  # one row
 
 
 def nf_churn(cells: DataFrame) -> DataFrame:

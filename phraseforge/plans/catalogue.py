@@ -180,7 +180,8 @@ SELECT depth, count(*) AS n_cases, count(*) FILTER (stability IN ('unstable', 'N
 FROM dv JOIN st USING (case_id) WHERE rn = 1 GROUP BY depth""",
     "t9_most_unstable": f"{STABLE} SELECT * FROM st WHERE stability = 'unstable' ORDER BY agreement_pct, case_id LIMIT 20",
     "x1_nf_drift": f"""{L}, nf AS (SELECT DISTINCT run_id, case_id FROM l WHERE {NF}), f AS (SELECT case_id FROM nf WHERE run_id = 1)
-SELECT run_id, count(*) AS n_nf, count(f.case_id) AS n_shared, count(*) - count(f.case_id) AS n_only_here, (SELECT count(*) FROM f) - count(f.case_id) AS n_only_first FROM nf LEFT JOIN f USING (case_id) GROUP BY run_id""",
+SELECT r.run_id, count(nf.case_id) AS n_nf, count(f.case_id) AS n_shared, count(nf.case_id) - count(f.case_id) AS n_only_here, (SELECT count(*) FROM f) - count(f.case_id) AS n_only_first
+FROM (SELECT DISTINCT run_id FROM l) r LEFT JOIN nf ON nf.run_id = r.run_id LEFT JOIN f ON f.case_id = nf.case_id GROUP BY r.run_id""",
     "x2_nf_churn": f"{CELLS} SELECT count(*) FILTER (k = r) AS n_always, count(*) FILTER (k > 0) AS n_ever, count(*) FILTER (k > 0 AND k < r) AS n_churn FROM (SELECT count(*) FILTER ({NF}) AS k, count(*) AS r FROM cells GROUP BY case_id)",
     "c1_exact_cascade": f"""WITH {TERMS}, p AS (SELECT p_partkey AS phrase_id, {NORM.format("CASE WHEN p_partkey % 3 = 0 THEN concat_ws(' ', p_type, p_name) ELSE upper(p_name) END")} AS w,
   CASE WHEN p_partkey % 2 = 0 THEN {NORM.format('p_name')} ELSE '' END AS c FROM part)

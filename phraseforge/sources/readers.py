@@ -48,11 +48,43 @@ def read_mixed_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("file"), decode(F.col("value")).alias("line"), (~F.is_valid_utf8("value")).alias("fell_back"))
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text, fell_back): CSV records, numbered from 1 in each file; a record goes over as many lines as its quotes are open.
+
+    Files are read by byte ranges. Whether a line begins a record hangs on the parity of all quotation marks before it: each range counts
+    its own and how many records would begin in it either way, ranges (a row each) add up, and lines learn their range's beginning. Only
+    lines of records with line breaks are gathered. Lines are decoded one by one; blank lines between records don't count. An unclosed
+    quotation mark makes one record of all that follows in its file."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), decode(F.col("value")).alias("line"), (~F.is_valid_utf8("value")).alias("fell_back"))
+    place = ["path", "block"]
+    before = Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # within a range of bounded bytes
+    marks = F.length("line") - F.length(F.regexp_replace("line", '"', ""))
+    solid = F.regexp_replace("line", r"\r$", "") != ""
+    lines = kept(lines.withColumns({"odd": marks % 2, "solid": solid}).withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2), "lines")
+    begins = lambda first: F.col("solid") & ((F.col("open") + first) % 2 == 0)
+    ranges = lines.groupBy(*place).agg((F.sum("odd") % 2).alias("odd"), F.count_if(begins(0)).alias("even_starts"), F.count_if(begins(1)).alias("odd_starts"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = ranges.withColumn("first", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    ranges = ranges.withColumn("starts", F.when(F.col("first") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))).withColumn("sofar", F.coalesce(F.sum("starts").over(earlier), F.lit(0)))
+    known = lines.join(ranges.select(*place, "first", "sofar"), place).withColumn("start", begins(F.col("first")))
+    upto = Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = known.withColumn("record", F.col("sofar") + F.count_if("start").over(upto))
+    inside = (F.col("open") + F.col("first")) % 2 == 1
+    one = known.where(F.col("start") & (F.col("odd") == 0)).select("file", "path", "record", F.col("line").alias("text"), "fell_back")
+    parts = known.where(inside | (F.col("start") & (F.col("odd") == 1)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"]), "\n")
+    many = parts.groupBy("file", "path", "record").agg(text.alias("text"), F.bool_or("fell_back").alias("fell_back"))  # the lines of one record
+    return one.unionByName(many.select(*one.columns)).withColumn("text", F.regexp_replace("text", r"\r$", "")).drop("path")
+
+
 def read_mixed_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV of known columns in mixed encodings, without line breaks in fields; the header line goes."""
-    lines = read_mixed_lines(spark, path).where(F.col("line") != "").where(~F.regexp_replace("line", '"', "").startswith(",".join(columns)))
-    parsed = F.from_csv("line", F.lit(", ".join(f"`{c}` string" for c in columns)))
-    return lines.select("file", parsed.alias("v"), "fell_back").select("file", "v.*", "fell_back")
+    """CSV of known columns in mixed encodings, with line breaks in quoted fields. A file's first record is its header if it holds just the names
+    of the columns; no other record is."""
+    fields = F.from_csv("text", F.lit(", ".join(f"`{c}` string" for c in columns)), {"escape": '"', "multiLine": "true"})
+    parsed = csv_records(spark, path).select("file", "record", fields.alias("v"), "fell_back")
+    header = (F.col("record") == 1) & F.array(*(F.coalesce(F.trim(f"v.`{c}`"), F.lit("")) for c in columns)).eqNullSafe(F.array(*map(F.lit, columns)))
+    return parsed.where(~header).select("file", "v.*", "fell_back")
 
 
 def read_files_as_encoded(spark: SparkSession, path: str) -> DataFrame:
@@ -82,25 +114,32 @@ def read_disorders(spark: SparkSession, path: str, source: str, lang: str = "en"
     return rows.select(F.col("d.OrphaCode").alias("orpha_code"), _label(F.col("d.Name"), lang).alias("name"), synonyms.alias("synonyms"), codes.alias("icd_codes"), "pos")
 
 
-def xml_label(label_xml: Column) -> Column:
-    """Text of a label without what its <Reference> elements hold, white space collapsed."""
-    return F.trim(F.regexp_replace(F.array_join(F.xpath(label_xml, F.lit("//text()[not(ancestor::Reference)]")), ""), r"(?U)\s+", " "))
+#: The elements that may stand in a label.
+LABEL_PARTS = "Caption|Cell|Fragment|Include|IncludeDescendants|List|ListItem|Para|Row|TBody|TFoot|THead|Table|Term"
+ATTRIBUTES = r"""(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?"""
 
 
-def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(code, kind, parent, usage, title, title_long, synonyms, pos) of a classification in XML, a row a <Class> element.
+def xml_label(inner: Column) -> Column:
+    """Text of a label, given what stands in it, without what its <Reference> elements hold, white space collapsed."""
+    plain = F.regexp_replace(inner, rf"(?s)<Reference{ATTRIBUTES}/>|<Reference{ATTRIBUTES}>.*?</Reference\s*>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"</?(?:{LABEL_PARTS}){ATTRIBUTES}/?>", ""), r"(?U)\s+", " "))
 
-    The last preferred label is the title; inclusions are synonyms of categories only. Elements are cut from the file's text, so
-    labels of mixed content keep their order; a file is one row, as terminologies are small."""
-    found = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(<Class\b.*?</Class>)"), F.lit(1))).alias("pos", "xml"))
-    first = lambda p: F.nullif(F.get(F.xpath("xml", F.lit(p)), F.lit(0)), F.lit(""))
-    labels = lambda kind: F.transform(F.regexp_extract_all("xml", F.lit(rf'(?s)<Rubric\b[^>]*\bkind="{kind}"[^>]*>.*?(<Label\b.*?</Label>).*?</Rubric>'), F.lit(1)), xml_label)
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """(code, kind, parent, usage, title, title_long, synonyms, pos) of a classification in XML, a row a <Class> element with a code.
+
+    Spark's XML source streams the elements of a file, one by one, so that comments, character data, entities, self-closed elements and
+    any order of attributes are read as XML has them; a label comes as the text between its tags. The first label of a rubric counts
+    if it isn't blank, the last such preferred one is the title, and inclusions are synonyms of categories only. pos ascends within a file.
+    Character data that looks like an element of a label is taken for one."""
+    schema = "_code string, _kind string, _usage string, SuperClass array<struct<_code: string>>, Rubric array<struct<_kind: string, Label: array<string>>>"
+    found = spark.read.format("xml").option("rowTag", "Class").option("ignoreSurroundingSpaces", "false").schema(schema).load(path).withColumn("pos", F.monotonically_increasing_id())
+    labels = lambda kind: F.filter(F.transform(F.filter(F.coalesce("Rubric", F.array().cast("array<struct<_kind:string,Label:array<string>>>")), lambda r: r["_kind"] == kind), lambda r: xml_label(F.coalesce(F.get(r["Label"], F.lit(0)), F.lit("")))), lambda x: x != "")
     last = lambda a: F.try_element_at(a, F.lit(-1))
-    kind = first("/Class/@kind")
-    return found.select(
-        first("/Class/@code").alias("code"), kind.alias("kind"), first("/Class/SuperClass/@code").alias("parent"), first("/Class/@usage").alias("usage"),
+    return found.where("_code <> ''").select(
+        F.col("_code").alias("code"), F.col("_kind").alias("kind"), F.get("SuperClass", F.lit(0))["_code"].alias("parent"), F.col("_usage").alias("usage"),
         last(labels("preferred")).alias("title"), last(labels("preferredLong")).alias("title_long"),
-        F.when(kind == "category", labels("inclusion")).otherwise(F.array().cast("array<string>")).alias("synonyms"), "pos",
+        F.when(F.col("_kind") == "category", labels("inclusion")).otherwise(F.array().cast("array<string>")).alias("synonyms"), "pos",
     )
 
 

@@ -1,11 +1,14 @@
 """Index, readers, state and swaps of this round against brute force and SQL."""
 
+import csv
+import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from phraseforge.operators import fuzzy, grams
+from phraseforge.sources import readers
 
 rng = random.Random(4)
 WORDS = ["".join(rng.choice("abcdeéз ñxyz"[i % 3 :]) for i in range(rng.randint(1, 9))).strip() or "q" for _ in range(60)]
@@ -40,3 +43,52 @@ def test_index_leaves_most_pairs_out(spark):
     forms = lambda n: spark.createDataFrame([(words(),) for _ in range(n)], "form string").withColumn("n", F.length("form"))
     assert grams.candidates(forms(300), forms(1000), 85.0).count() < 0.005 * 300 * 1000
     assert grams.candidates(forms(5).limit(0), forms(5), 85.0).count() == 0
+
+
+CLAML = """<?xml version="1.0" encoding="UTF-8"?>
+<!DOCTYPE ClaML [<!ENTITY x "y">]>
+<ClaML version="2.0.0"><Title name="T" version="2019">t</Title>
+<!-- <Class code="OLD" kind="category"><Rubric kind="preferred"><Label>gone</Label></Rubric></Class> -->
+<Class code="I" kind="chapter"><SubClass code="A00-A09"/><Rubric kind="preferred"><Label xml:lang="en">Chapter &amp; one &lt;5 é</Label></Rubric></Class>
+<Class kind='block' code='B'/>
+<Class kind="block" code="C"
+ ><SuperClass code="I"/><Rubric id="1" kind="preferred"><Label xml:lang="en"
+ >Mixed<Reference code="a &gt; b">A00</Reference> after <Fragment type="list">frag</Fragment><Reference code="x"/> <![CDATA[cd <b> & </Class> x]]> end<!-- no --></Label></Rubric>
+ <Rubric kind="preferred"><Label>second <Para>para</Para></Label><Label>third</Label></Rubric><Rubric kind="preferred"><Label> </Label></Rubric><Rubric kind="inclusion"/></Class><Class code="A00" kind="category" usage="dagger"><SuperClass code="C"/><SuperClass code="Z"/><Rubric kind="inclusion"><Label>inc &#233; "q"</Label></Rubric><Rubric kind="inclusion"><Label>  inc   2 </Label></Rubric><Rubric kind="preferredLong"><Label>long</Label></Rubric></Class><ClassX code="no"></ClassX><Class kind="block"><Rubric kind="preferred"><Label>no code</Label></Rubric></Class>
+<ModifierClass code=".0" modifier="M"><Rubric kind="preferred"><Label>mod</Label></Rubric></ModifierClass>
+<Class code="D" kind="block"><Rubric kind="preferred"><Label>One <![CDATA[two <b> & </Class>]]></Label></Rubric></Class>
+</ClaML>"""
+
+
+def test_classes_as_xml_has_them(spark, tmp_path):
+    (tmp_path / "c.xml").write_text(CLAML)
+    got = [tuple(r)[:-1] for r in readers.read_classes(spark, str(tmp_path / "c.xml")).orderBy("pos").collect()]
+    assert got == [
+        ("I", "chapter", None, None, "Chapter & one <5 é", None, []),
+        ("B", "block", None, None, None, None, []),
+        ("C", "block", "I", None, "second para", None, []),
+        ("A00", "category", "C", "dagger", None, "long", ['inc é "q"', "inc 2"]),
+        ("D", "block", None, None, "One two <b> & </Class>", None, []),
+    ]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_records_over_lines(spark, tmp_path, ending):
+    columns = ["doc_id", "sourcebook", "note"]
+    values = ["plain", "two\nlines", 'say "x"', "a,b", "", "é", "\n\n", "doc_id", 'open "\n" close', "x" * 300]
+    for name in ("a", "b"):
+        rows = [[str(i), rng.choice(values), rng.choice(values)] for i in range(300)] + [["doc_id", "sourcebook", "note"], ["doc_id", "sourcebook", "more"]]
+        out = io.StringIO()
+        csv.writer(out, lineterminator=ending).writerows(([columns] if name == "a" else []) + rows)
+        lines = out.getvalue().split("\n")
+        (tmp_path / f"{name}.csv").write_bytes(b"\n".join(x.encode("cp1252" if i % 3 == 0 else "utf-8") for i, x in enumerate(lines)))
+        (tmp_path / f"{name}.want").write_text(repr([[v.replace("\r", "") for v in r] for r in rows]))
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = readers.read_mixed_csv(spark, str(tmp_path / "*.csv"), columns).collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        for name in ("a", "b"):
+            want = eval((tmp_path / f"{name}.want").read_text())
+            assert sorted([(v or "").replace("\r", "") for v in (r.doc_id, r.sourcebook, r.note)] for r in got if r.file == f"{name}.csv") == sorted(want)
