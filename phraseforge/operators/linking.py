@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..sources.scratch import kept
 
 
 def first_claims(terms: DataFrame) -> DataFrame:
@@ -50,10 +51,10 @@ def padded(number, width: int):
     return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
-def sequential_ids(keys: DataFrame, known: DataFrame, prefix: str = "NF-") -> DataFrame:
-    """(key, number, code): new keys (key, pos) numbered by pos after the largest known number."""
+def sequential_ids(keys: DataFrame, known: DataFrame, prefix: str = "NF-", top: DataFrame | None = None) -> DataFrame:
+    """(key, number, code): new keys (key, pos) numbered by pos after the largest known number, or after the one row of top."""
     new = keys.groupBy("key").agg(F.min("pos").alias("pos")).join(known, "key", "left_anti").withColumn("one", F.lit(1))
-    top = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("top"))
+    top = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("top")) if top is None else top
     out = numbered(new, "one").join(F.broadcast(top), how="cross").select("key", (F.col("top") + F.col("place")).alias("number"))  # one row
     return out.withColumn("code", F.concat(F.lit(prefix), padded(F.col("number"), 4)))
 
@@ -70,14 +71,16 @@ def prefixed_ids(keys: DataFrame, known: DataFrame) -> DataFrame:
 def walk_up(nodes: DataFrame, most: int = 10) -> DataFrame:
     """(node, depth, top, path): from (node, parent), up to the root or `most` steps; a cycle ends the walk.
 
-    One join a level with the parents' table, which stays as it is; paths are carried along."""
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("above"))
-    out = nodes.select("node", F.col("parent").alias("next"), F.array("node").alias("path"))
-    for _ in range(most):
-        step = out.join(up, F.col("next") == F.col("at"), "left")
-        go = F.col("at").isNotNull() & ~F.array_contains("path", F.coalesce("at", F.lit("")))
-        out = step.select("node", F.when(go, F.col("above")).alias("following"), F.when(go, F.array_append("path", F.col("at"))).otherwise(F.col("path")).alias("path")).withColumnRenamed("following", "next")
-    return out.select("node", (F.size("path") - 1).alias("depth"), F.element_at("path", -1).alias("top"), F.array_join(F.reverse("path"), " > ").alias("path"))
+    By pointer doubling: a walk of 1, 2, 4, ... nodes and the node above it are a table, which joins itself; so `most` = 10 takes four
+    joins. A walk that repeats a node goes round a cycle from there on, so its distinct nodes are the walk. A node with several parents
+    has a row for each walk."""
+    out = nodes.select("node", F.col("parent").alias("above"), F.array("node").alias("path"))
+    for _ in range(most.bit_length()):
+        ahead = out.select(F.col("node").alias("at"), F.col("above").alias("beyond"), F.col("path").alias("more"))
+        longer = out.join(ahead, F.col("above") == F.col("at"), "left")
+        out = kept(longer.select("node", F.col("beyond").alias("above"), F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path")), "walks")
+    walked = out.withColumn("path", F.slice(F.array_distinct("path"), 1, most + 1)).distinct()
+    return walked.select("node", (F.size("path") - 1).alias("depth"), F.element_at("path", -1).alias("top"), F.array_join(F.reverse("path"), " > ").alias("path"))
 
 
 def unit(vector):

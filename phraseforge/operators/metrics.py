@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_nf
@@ -97,3 +97,22 @@ def column_differences(runs: dict[int, DataFrame], first: int = 1) -> list[tuple
     """(run, column, extra or missing) against the first run's columns; from schemas alone."""
     base = set(runs[first].columns)
     return sorted((k, c, "extra" if c not in base else "missing") for k, df in runs.items() for c in base ^ set(df.columns))
+
+
+def column_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(file, column): the names in each CSV file's header, from the byte ranges that begin a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value", F.col("_metadata.file_block_start").alias("start"))
+    headers = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    names = F.regexp_extract_all(F.regexp_replace("header", "^\ufeff|\r$", ""), F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1))
+    split = headers.select("file", F.explode(names).alias("name"))
+    bare = F.replace(F.regexp_replace("name", r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))
+    return split.where("name <> ''").select("file", bare.alias("column"))
+
+
+def column_set_differences(sets: DataFrame, first: str | int) -> DataFrame:
+    """(run, column, side): columns that a run has beyond the first one's (extra) or lacks of them (missing). sets: (run, column)."""
+    own, base = sets.where(F.col("run") != first), sets.where(F.col("run") == first).select("column")
+    runs = own.select("run").distinct()
+    extra = own.join(base, "column", "left_anti").withColumn("side", F.lit("extra"))
+    missing = runs.join(F.broadcast(base), how="cross").join(own, ["run", "column"], "left_anti").withColumn("side", F.lit("missing"))  # a header's columns
+    return extra.select("run", "column", "side").unionByName(missing.select("run", "column", "side"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,13 +104,25 @@ def _disorders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("orpha_code", "name", F.array_join("synonyms", "|").alias("synonyms"), F.explode("icd_codes").alias("c")).select("orpha_code", "name", "synonyms", "c.code", "c.mapping_relation")
 
 
+def rooted(elements: DataFrame) -> DataFrame:
+    """Lines (value) with a root element around those of each partition, so that each file that is written is well-formed."""
+
+    def wrap(batches):
+        line = lambda text: pa.RecordBatch.from_pydict({"value": pa.array([text], pa.string())})
+        yield line("<ClaML>")
+        yield from batches
+        yield line("</ClaML>")
+
+    return elements.mapInArrow(wrap, "value string")
+
+
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = lambda kind, text: F.concat(_text(f'<Rubric kind="{kind}"><Label>'), text, _text("</Label></Rubric>"))
     key = F.col("s_suppkey").cast("string")
     kind = F.when(F.col("s_suppkey") % 3 == 0, "block").otherwise("category")
     xml = F.concat(_text('<Class code="S'), key, _text('" kind="'), kind, _text('"><SuperClass code="N'), F.col("s_nationkey").cast("string"), _text('"/>'), label("preferred", F.concat(_text("name <Reference>x"), key, _text("</Reference>of  "), "s_name")), label("inclusion", F.concat(_text("also "), key)), _text("</Class>"))
     path = new_path(spark, "classes")
-    table(spark, sf_dir, "supplier").select(xml.alias("value")).write.text(path)
+    rooted(table(spark, sf_dir, "supplier").select(xml.alias("value"))).write.text(path)
     return readers.read_classes(spark, path).select("code", "kind", "parent", "title", F.array_join("synonyms", "|").alias("synonyms"))
 
 
@@ -409,5 +422,6 @@ SELECT depth, stability, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION
 SELECT run_id, case_id, 'only_in_run' AS side FROM nf WHERE run_id <> 1 AND case_id NOT IN (SELECT case_id FROM f)
 UNION ALL SELECT q.run_id, f.case_id, 'only_in_first' FROM f CROSS JOIN (SELECT DISTINCT run_id FROM l WHERE run_id <> 1) q WHERE NOT EXISTS (SELECT 1 FROM nf WHERE nf.run_id = q.run_id AND nf.case_id = f.case_id)""",
     "x3_nf_subset": f"""{CELLS}, nf AS (SELECT DISTINCT run_id, case_id FROM l WHERE {NF}), f AS (SELECT case_id FROM nf WHERE run_id = 1)
-SELECT run_id, count(*) = count(f.case_id) AS is_subset, (SELECT count(*) > 0 FROM (SELECT case_id FROM cells GROUP BY case_id HAVING bool_and({NF}))) AS dependent FROM nf LEFT JOIN f USING (case_id) GROUP BY run_id""",
+SELECT r.run_id, count(nf.case_id) = count(f.case_id) AS is_subset, (SELECT count(*) > 0 FROM (SELECT case_id FROM cells GROUP BY case_id HAVING bool_and({NF}))) AS dependent
+FROM (SELECT DISTINCT run_id FROM l) r LEFT JOIN nf ON nf.run_id = r.run_id LEFT JOIN f ON f.case_id = nf.case_id GROUP BY r.run_id""",
 }

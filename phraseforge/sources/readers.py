@@ -126,7 +126,7 @@ def xml_label(inner: Column) -> Column:
 
 
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(code, kind, parent, usage, title, title_long, synonyms, pos) of a classification in XML, a row a <Class> element with a code.
+    """(code, kind, parent, usage, title, title_long, synonyms, pos) of well-formed classifications in XML, a row a <Class> element with a code.
 
     Spark's XML source streams the elements of a file, one by one, so that comments, character data, entities, self-closed elements and
     any order of attributes are read as XML has them; a label comes as the text between its tags. The first label of a rubric counts

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "version long, path string"
+
 
 def write_runs(rows: DataFrame, path: str, columns: list[str]) -> None:
     """CSV by run with the given columns in order, null as an empty text. The path must be new: a version is written whole, and
@@ -37,3 +43,43 @@ def write_catalogue(entities: DataFrame, path: str) -> None:
 def write_results(rows: DataFrame, path: str, order: list[str]) -> None:
     """CSV in a fixed order of columns, by query and iteration; numbers sort as numbers."""
     rows.orderBy(F.col("query_id").try_cast("bigint"), F.col("query_id").cast("string"), F.col("iteration").try_cast("bigint")).select(*order).write.csv(path, header=True, escape='"')
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """(version, path) of the newest whole version under root, None if there is none."""
+    try:
+        newest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").orderBy(F.desc("version"), F.desc("path")).first()  # a row a version
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if newest is None else (newest["version"], newest["path"])
+
+
+def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> str:
+    """A new version under root: write(path) makes it whole in a folder that no reader knows of, then one row of a manifest names it.
+
+    That row is one file, which Spark commits by a rename, so readers see the old version or the new one. A write that fails leaves the old
+    one, and a folder that nothing names. Of two writers at once the one with the greater path counts."""
+    before = current(spark, root)
+    path = f"{root}/data-{uuid.uuid4().hex}"
+    write(path)
+    spark.createDataFrame([((before[0] if before else 0) + 1, path)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return path
+
+
+def publish_runs(rows: DataFrame, root: str, columns: list[str]) -> str:
+    """write_runs as a new version under root; readers.load_runs takes its folders."""
+    return publish(rows.sparkSession, root, lambda path: write_runs(rows, path, columns))
+
+
+def publish_ids(ids: DataFrame, root: str) -> str:
+    return publish(ids.sparkSession, root, lambda path: write_ids(ids, path))
+
+
+def newest_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The ids of the newest version."""
+    found = current(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"no version in {root}")
+    return spark.read.parquet(found[1])
