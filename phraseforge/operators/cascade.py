@@ -44,7 +44,7 @@ def cascade(rows: DataFrame, lexicon: DataFrame, catalogue: DataFrame, decisions
     """rows (run_id, case_id, phrase, core, pos) with match_type, match_source, icd_code_complete, mapping_relation, matched_name, score.
 
     Steps: exact, then fuzzy with a decision, in lexicon (term, name, codes: array of code, mapping_relation; pos; a row a term); exact,
-    then the best accepted of a candidate pool, in catalogue (term, code, kind, title, pos); else an id after those of known (key,
+    then the best accepted of a candidate pool, in catalogue (term, code, kind, title, pos), whose pools are of all kinds and keep their categories; else an id after those of known (key,
     number), by first pos. A hit without a code doesn't stop the cascade. Of several codes one is chosen, by the answer of a decision of
     step `code` if there is one. Rows with a blank phrase get blanks and take no step. Decisions never cross runs."""
     left = kept(distinct_queries(rows), "queries")
@@ -74,7 +74,7 @@ def cascade(rows: DataFrame, lexicon: DataFrame, catalogue: DataFrame, decisions
     left = kept(left, "queries")
     categories = catalogue.where("kind = 'category'")
     titles = categories.groupBy("code").agg(F.min_by("title", "pos").alias("title"))
-    pooled = kept(pool(left.select(F.col("term").alias("phrase")), categories), "pool")
+    pooled = kept(pool(left.select(F.col("term").alias("phrase")), catalogue.where("term <> ''")).join(categories.select("code").distinct(), "code", "left_semi"), "pool")
     sides = left.join(pooled.withColumnRenamed("phrase", "term"), "term").withColumn("phrase_id", F.struct(*KEY))
     merged = merge_pools(sides.where("order = 1"), sides.where("order = 2"), titles).select("phrase_id.*", "code", "title", "rank")
     chosen = decided(merged.select(*KEY, F.lit("pool").alias("step"), F.col("title").alias("candidate"), "code", "rank"), decisions)

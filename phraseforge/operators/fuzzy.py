@@ -4,13 +4,15 @@ Distinct phrases meet the terms in blocks: both sides are dealt by hash into chu
 one group. Exact bounds on length and letter counts leave few pairs to score; a group returns only its best rows a phrase.
 Scores (0 to 100): `ratio` is 200 * LCS / (both lengths); `token_sort` is that of space-sorted words; `token_set` the best ratio
 among the shared words, and these with each side's rest (100 if one word set holds the other); `partial` the best ratio of
-the shorter text against windows as long in the longer one; `mixed` the best of ratio and 0.95 * the token forms, or, where one
-text is 1.5 times as long or more, of ratio, 0.9 * partial (0.6 beyond 8 times) and that weight * 0.95 * token_set.
+the shorter text against windows as long in the longer one; `partial_token` 100 if a word is shared, else the best partial score of
+sorted or distinct words; `mixed` the best of ratio and 0.95 * the token forms, or, where one text is 1.5 times as long or more, of
+ratio, 0.9 * partial (0.6 beyond 8 times) and that weight * 0.95 * partial_token.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -59,28 +61,48 @@ def token_set(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """Windows at the ends may be shorter than the shorter text."""
+    """Windows at the ends may be shorter than the shorter text. As a window slides, how many of its letters the shorter text can match
+    is kept up to date; only windows whose bound is above the best score so far are compared."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if not a:
         return 100.0 if not b else 0.0
-    best, top = 0.0, lcs(a, b)
-    if 100.0 * top / len(a) == 0:
-        return 0.0
-    for at in range(1 - len(a), len(b)):
-        window = b[max(at, 0) : at + len(a)]
-        if 200.0 * min(top, len(window)) / (len(a) + len(window)) > best:
-            best = max(best, ratio(a, window))
+    if a in b:
+        return 100.0
+    spare, common, best = Counter(a), 0, 0.0
+    for end in range(1, len(b) + len(a)):
+        if end <= len(b):
+            spare[b[end - 1]] -= 1
+            common += spare[b[end - 1]] >= 0
+        if end > len(a):
+            gone = b[end - 1 - len(a)]
+            common -= spare[gone] >= 0
+            spare[gone] += 1
+        start, stop = max(end - len(a), 0), min(end, len(b))
+        if 200.0 * common / (len(a) + stop - start) > best + 1e-12:
+            best = max(best, ratio(a, b[start:stop]))
     return best
 
 
+def partial_token(a: str, b: str) -> float:
+    """The best of the sorted words and, where no word is shared, of the distinct words; a shared word is a full match."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    if x & y:
+        return 100.0
+    whole, once = [[" ".join(sorted(w)) for w in both] for both in ((a.split(), b.split()), (x, y))]
+    return max(partial(*pair) for pair in ((whole,) if whole == once else (whole, once)))
+
+
 def mixed(a: str, b: str) -> float:
+    """The published weights: words count 0.95; parts 0.9, or 0.6 beyond 8 times the length."""
     short, long = sorted((len(a), len(b)))
     if not short:
         return 0.0
     if long / short < 1.5:
-        return max(ratio(a, b), 0.95 * token_sort(a, b), 0.95 * token_set(a, b))
+        return max(ratio(a, b), 0.95 * max(token_sort(a, b), token_set(a, b)))
     weight = 0.9 if long / short <= 8 else 0.6
-    return max(ratio(a, b), weight * partial(a, b), 0.95 * weight * token_set(a, b))
+    return max(ratio(a, b), weight * partial(a, b), 0.95 * weight * partial_token(a, b))
 
 
 SCORERS = {"token_sort": token_sort, "token_set": token_set, "mixed": mixed, "partial": partial}
@@ -137,7 +159,8 @@ def score_block(phrases: list[str], terms: list[tuple[int, str]], scorers: list[
             if scorer == "mixed":
                 wide = np.maximum(len(phrase), lengths) >= 1.5 * np.minimum(len(phrase), lengths)
                 part = bounds("partial", common, len(phrase), lengths)
-                most = np.maximum(np.maximum(plain, 0.95 * sets), np.where(wide, 0.9 * part, 0.0))
+                words_part = np.where(shares, 100.0, np.minimum(100.0, bounds("partial", common, set_length(phrase), set_lengths)))
+                most = np.maximum(np.maximum(plain, 0.95 * sets), np.where(wide, np.maximum(0.9 * part, 0.855 * words_part), 0.0))
             else:
                 most = sets if scorer == "token_set" else plain if scorer == "token_sort" else bounds(scorer, common, len(phrase), lengths)
             order = np.lexsort((pos, -most))

@@ -92,3 +92,41 @@ def test_records_over_lines(spark, tmp_path, ending):
         for name in ("a", "b"):
             want = eval((tmp_path / f"{name}.want").read_text())
             assert sorted([(v or "").replace("\r", "") for v in (r.doc_id, r.sourcebook, r.note)] for r in got if r.file == f"{name}.csv") == sorted(want)
+
+
+def test_published_scores():
+    """Examples and definitions that the scorers' public documentation gives."""
+    close = lambda got, want: abs(got - want) < 1e-9
+    assert close(fuzzy.ratio("this is a test", "this is a test!"), 96.55172413793103)
+    assert close(fuzzy.partial("this is a test", "this is a test!"), 100.0)
+    assert close(fuzzy.ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), 90.9090909090909)
+    assert close(fuzzy.token_sort("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear"), 100.0)
+    assert close(fuzzy.token_sort("fuzzy was a bear", "fuzzy fuzzy was a bear"), 84.21052631578947)
+    assert close(fuzzy.token_set("fuzzy was a bear", "fuzzy fuzzy was a bear"), 100.0)
+    assert close(fuzzy.token_set("fuzzy was a bear but not a dog", "fuzzy was a bear but not a cat"), 92.3076923076923)
+    assert close(fuzzy.mixed("this is a test", "this is a new test!!!"), 85.5)
+    assert close(fuzzy.mixed("this is a word", "THIS IS A WORD"), 21.42857142857143)
+    assert fuzzy.partial_token("a bear", "the bear sleeps") == 100.0 and fuzzy.partial_token("", "x") == 0.0
+
+
+def test_windows_by_brute_force():
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, n))) for n in (8, 20))
+        a, b = sorted((a, b), key=len)
+        windows = [b[max(i, 0) : i + len(a)] for i in range(1 - len(a), len(b))]
+        assert abs(fuzzy.partial(a, b) - max(fuzzy.ratio(a, w) for w in windows)) < 1e-9
+
+
+def test_pool_keeps_categories_of_all_kinds(spark):
+    """A block's term that is nearest takes a place of the pool and then goes."""
+    from phraseforge.operators import cascade
+
+    rows = spark.createDataFrame([(1, 1, "chronic cough", "", 1)], "run_id long, case_id long, phrase string, core string, pos long")
+    blocks = [(f"chronic cough{'s' * i}", f"B{i}", "block", f"block {i}", i) for i in range(1, 11)]
+    lexicon = spark.createDataFrame([], "term string, name string, codes array<struct<code: string, mapping_relation: string>>, pos long")
+    known = spark.createDataFrame([], "key string, number long")
+    decisions = spark.createDataFrame([(1, "chronic cough", "pool", "Cough", True)], "run_id long, norm_key string, step string, candidate string, accept boolean")
+    for n, want in ((10, ("nf", "NF-0001")), (3, ("catalog_search", "R05"))):
+        catalogue = spark.createDataFrame([*blocks[:n], ("chronic coughing fits", "R05", "category", "Cough", 20)], "term string, code string, kind string, title string, pos long")
+        got = cascade.cascade(rows, lexicon, catalogue, decisions, known).first()
+        assert (got["match_type"], got["icd_code_complete"]) == want
