@@ -40,6 +40,21 @@ def first_hits(rows: DataFrame, step: int, name: str, catalogue: bool = False) -
     return best.select(*KEY, *(c.alias(n) for c, n in zip(columns, HIT[2:], strict=True)))
 
 
+def rejoin(rows: DataFrame, hits: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """rows with the columns of hits (a row a key), null where there is none; keys aren't null.
+
+    Keys that hold a thousandth of all rows or more, a thousand at most, meet their hits by broadcast, wherever their rows lie; the others
+    meet by key, where none is large."""
+    counts = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heavy = counts.where(F.col("n") * share >= total).select(*keys, F.lit(True).alias("heavy"))
+    marked = rows.join(F.broadcast(heavy), keys, "left")  # `share` rows at most
+    own = hits.join(F.broadcast(heavy), keys, "left_semi")
+    few = marked.where("heavy is null").drop("heavy").join(hits, keys, "left")
+    many = marked.where("heavy").drop("heavy").join(F.broadcast(own), keys, "left")
+    return few.unionByName(many)
+
+
 def cascade(rows: DataFrame, lexicon: DataFrame, catalogue: DataFrame, decisions: DataFrame, known: DataFrame, threshold: float = 85.0) -> DataFrame:
     """rows (run_id, case_id, phrase, core, pos) with match_type, match_source, icd_code_complete, mapping_relation, matched_name, score.
 
@@ -88,7 +103,7 @@ def cascade(rows: DataFrame, lexicon: DataFrame, catalogue: DataFrame, decisions
     linked = hits[0]
     for more in hits[1:]:
         linked = linked.unionByName(more)
-    out = keyed.select("run_id", "case_id", "norm_key").join(linked.drop("step"), KEY, "left").drop("norm_key")
+    out = rejoin(keyed.select("run_id", "case_id", "norm_key").where("run_id is not null"), linked.drop("step"), KEY).unionByName(keyed.where("run_id is null").select("run_id", "case_id", "norm_key"), allowMissingColumns=True).drop("norm_key")
     texts = [c for c in HIT[3:] if c != "score"]
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import linking, lookup, metrics, stability
+from ..sources.scratch import kept
 from .ledger import LEDGER_SQL, ledger
 
 
@@ -82,7 +83,9 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cells, stable = ledger(spark, sf_dir), _cells(spark, sf_dir), _stable(spark, sf_dir)
+    rows = kept(ledger(spark, sf_dir), "ledger")
+    cells = kept(stability.grid(rows), "cells")
+    stable = kept(stability.case_stability(cells), "stable")
     return lookup.warnings(stability.determinism_violations(rows, stable), stable, stability.nf_churn(cells), stability.judge_variance(cells), metrics.match_type_spread(metrics.match_type_mix(rows)))
 
 

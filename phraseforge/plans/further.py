@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_nf
-from ..operators import metrics, neighbours, stability
+from ..operators import fuzzy, metrics, neighbours, stability
 from ..sources import readers, writers
 from ..sources.scratch import kept, new_path
 from .catalogue import NF, table
@@ -95,6 +95,14 @@ def _column_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.column_set_differences(sets, 1)
 
 
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that name a part in other case, with a letter too few, or not at all, among the part's names."""
+    part = table(spark, sf_dir, "part")
+    answer = F.when(F.col("p_partkey") % 3 == 0, F.concat(_text(" "), F.upper("p_type"))).when(F.col("p_partkey") % 3 == 1, F.expr("substr(p_type, 1, length(p_type) - 1)")).otherwise(_text("none of these"))
+    rows = part.select("p_partkey", answer.alias("answer"), F.array("p_brand", "p_name", "p_type", F.lit(None).cast("string")).alias("candidates"))
+    return fuzzy.choose_name(rows).select("p_partkey", "chosen")
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     index = neighbours.build(rows)
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k1_run_versions": _run_versions,
     "k2_id_versions": _versions,
     "a14_column_sets": _column_sets,
+    "j15_chosen_names": _chosen,
     "j18_indexed": _indexed,
 }
 
@@ -127,6 +136,7 @@ FROM r LEFT JOIN nf ON nf.run_id = r.run_id LEFT JOIN f ON f.case_id = nf.case_i
     "x3_subset_with_a_clean_run": f"""{CLEAN}, {DRIFT}, cells AS (SELECT c.case_id, l.category FROM (SELECT DISTINCT case_id FROM l) c CROSS JOIN r LEFT JOIN l ON l.case_id = c.case_id AND l.run_id = r.run_id)
 SELECT r.run_id, count(nf.case_id) = count(f.case_id) AS is_subset, (SELECT count(*) > 0 FROM (SELECT case_id FROM cells GROUP BY case_id HAVING bool_and(coalesce({NF}, false)))) AS dependent
 FROM r LEFT JOIN nf ON nf.run_id = r.run_id LEFT JOIN f ON f.case_id = nf.case_id GROUP BY r.run_id""",
+    "j15_chosen_names": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND 200.0 * (length(p_type) - 1) / (2 * length(p_type) - 1) >= 90 THEN p_type END AS chosen FROM part",
     "k1_run_versions": f"{L} SELECT CAST(run_id AS BIGINT) AS run_id, case_id, lower(category) AS category FROM l",
     "k2_id_versions": "SELECT concat_ws(' ', p_name, p_brand) AS key, min(p_partkey) AS number, CAST(2 AS INT) AS version FROM part GROUP BY 1",
     "a14_column_sets": f"""{L}, runs AS (SELECT DISTINCT CAST(run_id AS BIGINT) AS run FROM l WHERE run_id <> 1)

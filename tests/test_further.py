@@ -6,7 +6,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from phraseforge.operators import linking, metrics, neighbours, stability
+from pyspark.sql import functions as F
+
+from phraseforge.operators import cascade, linking, metrics, neighbours, stability
 from phraseforge.plans import further
 from phraseforge.sources import writers
 from phraseforge.streaming import incremental
@@ -104,3 +106,13 @@ def test_index_of_neighbours(spark, monkeypatch):
     assert len(every ^ exact) <= 0.01 * len(exact)  # sums of products in another order
     none = neighbours.build(data.limit(0))
     assert neighbours.search(asked, none).count() == 0
+
+
+def test_hot_keys_rejoin_where_they_lie(spark):
+    rows = spark.range(0, 6000, numPartitions=8).selectExpr("1 as run_id", "id as case_id", "if(id % 3 = 0, 'hot', concat('k', id)) as norm_key")
+    hits = spark.createDataFrame([(1, "hot", "H"), (1, "k1", "A"), (1, "k6001", "B")], "run_id int, norm_key string, code string")
+    got = cascade.rejoin(rows, hits, cascade.KEY)
+    assert {(r["norm_key"], r["code"]) for r in got.where("code is not null").collect()} == {("hot", "H"), ("k1", "A")} and got.count() == 6000
+    spread = got.where("norm_key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in spread) == 2000 and max(r["count"] for r in spread) <= 2000 / 8 + 1
+    assert cascade.rejoin(rows.limit(0), hits, cascade.KEY).count() == 0
