@@ -116,7 +116,7 @@ def labelled_table(rows: int = 300, seed: int = 11) -> list[tuple[str, list[tupl
 def shape(word: str) -> str:
     """Digits 9, capitals X, other letters x, all else as it is; runs cut to four, or to one for letters."""
     s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", word))
-    return re.sub(r"([xX])\1*", r"\1", re.sub(r"9{5,}", "99999", s))[:40]
+    return re.sub(r"([xX])\1*", r"\1", re.sub(r"9{5,}", "99999", s))
 
 
 def features(words: list[str]) -> Iterator[list[str]]:
