@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .hashing import P_BYTE, P_WORD, SPACE, SYMBOL, U, Block, between, blocks, mix, prefix, windows
+from .shared import materialise
 
 WINDOW = 8
 #: A window with fewer literal words than this says too little.
 LITERALS = 4
+#: An item whose windows say too little is a template as a whole, if it has so many words, and so many literals, and numbers or units, among them.
+WHOLE, WHOLE_LITERALS, WHOLE_NUMBERS = 5, 3, 2
 #: Words in a row that are a leak whatever the item's length: word for word, and as templates or on an alignment whose equal slots
 #: are filled in contradiction.
 RUN = 13
@@ -124,6 +127,63 @@ def templates(table: DataFrame, key: str, window: int = WINDOW, known: np.ndarra
     return table.mapInArrow(send, f"hash long, {as_key} long, {as_at} long, full boolean, {as_slots} array<string>")
 
 
+def whole_templates(table: DataFrame, key: str, lengths: list[int] | None = None, known: np.ndarray | None = None) -> DataFrame:
+    """(hash, key, slots): without `lengths`, items as templates of their own length, if they have WHOLE_LITERALS literals and WHOLE_NUMBERS numbers, and fewer than half
+    of their windows, or none, are templates by themselves. With `lengths`, the runs of so many words of any row that pass the filter."""
+    shared = None if known is None else table.sparkSession.sparkContext.broadcast(known)  # bounded: bloom.MAX_BITS
+
+    def send(batches):
+        for block in blocks(batches):
+            symbols, _, slot, named, starts, ends, first = canonical(block)
+            ids = np.asarray(block.batch.column(key).to_numpy(zero_copy_only=False))
+            filled, typed = (np.concatenate([[0], np.cumsum(x)]) for x in (slot, slot & ~named))
+            size = np.diff(first)
+            rows = np.repeat(np.arange(len(size)), size)
+            if lengths is None:
+                sums = prefix(symbols, P_WORD)
+                at = first[:-1][size >= WHOLE]
+                n, end = size[size >= WHOLE], first[1:][size >= WHOLE]
+                free = WINDOW - (filled[WINDOW:] - filled[:-WINDOW]) if len(symbols) >= WINDOW else np.zeros(0, np.int64)
+                plain = np.concatenate([[0], np.cumsum(free >= LITERALS)])
+                last = np.maximum(end - WINDOW + 1, at)
+                good = plain[np.minimum(last, len(plain) - 1)] - plain[np.minimum(at, len(plain) - 1)]
+                slots = filled[end] - filled[at]
+                on = (typed[end] - typed[at] >= WHOLE_NUMBERS) & (n - slots >= WHOLE_LITERALS) & ((n < WINDOW) | (2 * good < n - WINDOW + 1))
+                found = [(at[on], n[on], between(sums, at[on], end[on], P_WORD))]
+            else:
+                found = []
+                for n in lengths:
+                    at, hashes = windows(symbols, first, n)
+                    on = (filled[at + n] - filled[at] > 0) & bloom.passes(hashes, shared.value)
+                    found.append((at[on], np.full(on.sum(), n), hashes[on]))
+            for at, n, hashes in found:
+                word = lambda i: bytes(c for c in block.data[starts[i] : ends[i]].tobytes().lower() if COUNTS[c]).decode("utf-8", "replace")
+                slots = [[word(i) for i in range(x, x + k) if slot[i]] for x, k in zip(at, n)]
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), key: pa.array(ids[rows[at]] if len(at) else ids[:0], pa.int64()), "n_words": pa.array(n, pa.int32()), "slots": pa.array(slots, pa.list_(pa.string()))})
+
+    return table.mapInArrow(send, f"hash long, {key} long, n_words int, slots array<string>")
+
+
+def reparameterised(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, verbatim): documents with a run of words that is the whole template of an item which windows can't find, where equal
+    fillers of the item have equal ones in the document."""
+    asked = materialise(whole_templates(items, "item_id"), "whole-items")
+    lengths = sorted(r["n_words"] for r in asked.select("n_words").distinct().collect())  # lengths of items, each one scan of a block
+    none = asked.select(F.lit(0).cast("long").alias("doc_id"), "item_id", F.lit(True).alias("verbatim")).where("false")
+    if not lengths:
+        return none
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"keys": pa.array([batch.column("hash").to_numpy().tobytes()], pa.binary())})
+
+    known = bloom.build(asked.select("hash").mapInArrow(pack, "keys binary"), bloom.bits_for(asked.count()))
+    met = whole_templates(docs, "doc_id", lengths=lengths, known=known).withColumnRenamed("slots", "doc_slots").join(asked.withColumnRenamed("slots", "item_slots"), ["hash", "n_words"])
+    same = F.zip_with("item_slots", "doc_slots", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("item_slots"))  # one filler for each of the item's
+    return met.withColumn("pairs", same).where(consistent).groupBy("doc_id", "item_id").agg(F.max(F.col("item_slots") == F.col("doc_slots")).alias("verbatim"))
+
+
 def longest(places: list[int], window: int) -> int:
     """Words in a row that windows at these ascending places cover."""
     best = run = 0
@@ -165,7 +225,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     item doesn't matter. coverage: the greater of two shares, of the item's windows and of those that are templates (n_windows and n_found belong to
     it). verbatim: no placeholder is filled otherwise than in the item. Windows with too few literal words for a template count
     where their words are equal. An item with fewer words than the window is found where all its words stand in a row; one of
-    a single word is so found wherever the word is. Null and empty texts hold nothing, and texts without words are never
+    a single word is so found wherever the word is. An item of WHOLE words or more, half of whose windows aren't templates, is also found by its
+    whole template (reparameterised()); it has one window then. Null and empty texts hold nothing, and texts without words are never
     found. Rows without an id are left out; rows that repeat an id count as one text. Other columns are not read. Empty tables
     give no rows.
 
@@ -173,7 +234,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     joined by hash. A window in a third of all documents is one build row for each item that has it."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    asked = templates(items, "item_id", window, as_key="item_id", as_at="item_at", as_slots="item_slots").persist()
+    asked = templates(items, "item_id", window, as_key="item_id", as_at="item_at", as_slots="item_slots")
+    asked = materialise(asked, "item-windows")
 
     def pack(batches):
         for batch in batches:
@@ -205,7 +267,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     out = spots.join(sizes, "item_id").withColumn("by_full", F.coalesce(F.col("of_full") / F.nullif("n_full", F.lit(0)) > F.col("all") / F.col("n_all"), F.lit(False)))
     out = out.withColumns({"n_windows": F.when(F.col("by_full"), F.col("n_full")).otherwise(F.col("n_all")), "n_found": F.when(F.col("by_full"), F.col("of_full")).otherwise(F.col("all"))})
     out = out.withColumn("coverage", F.col("n_found") / F.col("n_windows"))
-    return out.where((F.col("coverage") >= least) | F.col("held")).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "verbatim")
+    out = out.where((F.col("coverage") >= least) | F.col("held")).select("doc_id", "item_id", "n_windows", "n_found", "coverage", "verbatim")
+    one = [F.lit(1).cast("long").alias(c) for c in ("n_windows", "n_found")]
+    whole = reparameterised(docs, items).select("doc_id", "item_id", *one, F.lit(1.0).alias("coverage"), "verbatim")
+    best = F.max_by(F.struct("n_windows", "n_found", "coverage", "verbatim"), F.struct("coverage", "n_windows"))
+    return out.unionByName(whole).groupBy("doc_id", "item_id").agg(best.alias("v")).select("doc_id", "item_id", "v.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = 0.5) -> DataFrame:

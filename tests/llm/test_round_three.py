@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from phraseforge.llm import divergence, repair, toxicity
+from phraseforge.llm import decontamination, divergence, pii, repair, toxicity
 
 rng = random.Random(11)
 
@@ -193,3 +193,21 @@ def test_toxicity_without_rows_or_labels(spark):
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
     one_kind = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(r.predicted == 0 for r in toxicity.score(docs, toxicity.train(docs, one_kind)).selectExpr("*", "int(score >= 0.3) predicted").collect())
+
+
+def test_reparameterised_short_and_number_heavy_items(spark):
+    items = [(1, "Solve for x: 3x + 5 = 20"), (2, "Compute 12 + 30 - 5 and 8 times 3 then 7"), (3, "What is 5 + 3"), (4, "Add 5 and 7 to 5 and then double"), (5, None), (6, "")]
+    texts = [
+        "Homework. Solve for x: 4x + 7 = 31 and explain.", "Compute 15 + 33 - 6 and 9 times 2 then 4", "we compute things then solve for peace", "what is 7 + 9", "Add 6 and 8 to 6 and then double",
+        "Add 6 and 8 to 9 and then double", "Solve for y: 4x + 7 = 31", None, "", "solve for x 1 2 3 " * 2000, "Compute 12 + 30 - 5 and 8 times 3 then 7", "Compute 12 + 30 - 5 and 8 times 3 then 7",
+    ]
+    docs = spark.createDataFrame([(d, t, 0.1) for d, t in enumerate(texts)] + [(None, texts[0], 0.2)], "doc_id long, text string, coverage double").repartition(3)
+    benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got == {(0, 1): False, (9, 1): False, (1, 2): False, (4, 4): False, (10, 2): True, (11, 2): True}
+    assert decontamination.contaminated(docs, benchmark.limit(0)).count() == decontamination.contaminated(docs.limit(0), benchmark).count() == 0
+    assert sorted(r.doc_id for r in decontamination.clean(docs.where("doc_id is not null"), benchmark).select("doc_id").collect()) == [2, 3, 5, 6, 7, 8]
+
+
+def test_shapes_are_whole():
+    assert pii.shape("a1-" * 50) == "x9-" * 50 and pii.shape("") == ""
