@@ -28,7 +28,7 @@ from .suffix_sort import common_at_least, suffix_array
 LEVEL = 32
 BLOCK = 2 << 20
 #: Bytes of distinct segments that are sorted at once, and that one group may have before its cells are halved.
-SHARD, GROUP = 12 << 20, 4 << 20
+SHARD, GROUP = 6 << 20, 4 << 20
 #: The place of a segment whose repeats are known.
 TOLD = -1
 FIELDS = ["bucket", "depth", "keys", "anchors", "cells", "lengths", "times", "blocks", "places", "texts"]
@@ -75,7 +75,7 @@ def cut(raw: bytes, sums: np.ndarray, anchor: np.ndarray, nearest: np.ndarray, f
 
 def repeated_spans(packed: Packed, length: int) -> DataFrame:
     """(block, places): begin << 32 | end of bytes, within the block, that lie in strings of `length` bytes that occur again."""
-    n_buckets = parts_for(packed.n_bytes, 12 << 20, 4)
+    n_buckets = parts_for(packed.n_bytes, 8 << 20, 4)
     parts = packed.parts
 
     def windows_of(texts: Texts):
