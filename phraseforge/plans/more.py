@@ -33,10 +33,12 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey < 100")
-    code = F.concat(F.chr(F.lit(65) + F.col("p_partkey") % 22), F.lpad(F.col("p_partkey").cast("string"), 2, "0"))
-    paths = part.select(code.alias("code"), F.lit("own").alias("chapter"), F.lit(4).alias("distance"), F.concat(F.lit("own > "), code).alias("path"))
-    return terminology.enrich(ledger(spark, sf_dir).select("case_id", "run_id", "code_complete"), paths)
+    """Codes whose digits are a part's whole key; those of letter Z are in no path."""
+    digits = lambda key: F.concat(F.when(F.col(key) < 10, "0").otherwise(""), F.col(key).cast("string"))
+    code = F.concat(F.chr(F.lit(65) + F.col("p_partkey") % 22), digits("p_partkey"))
+    paths = table(spark, sf_dir, "part").select(code.alias("code"), F.lit("own").alias("chapter"), F.lit(4).alias("distance"), F.concat(F.lit("own > "), code).alias("path"))
+    whole = F.concat(F.substring("code_complete", 1, 1), digits("case_id"), F.lit("."), F.split_part("code_complete", F.lit("."), F.lit(2)))
+    return terminology.enrich(ledger(spark, sf_dir).select("case_id", "run_id", F.when(t.is_nf(F.col("code_complete")), F.col("code_complete")).otherwise(whole).alias("code_complete")), paths)
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f11_answers": _answers,
     "f19_code_lists": _code_lists,
     "v2_chunks": _chunks,
-    "v4_cited_sources": lambda s, d: corpus.cited_sources(table(s, d, "pages").select((F.col("page_id") % 100).alias("query_id"), F.col("url").alias("source"))),
+    "v4_cited_sources": lambda s, d: corpus.cited_sources(table(s, d, "pages").select(F.expr("page_id div 20").alias("query_id"), F.col("url").alias("source"))),
 }
 
 L = f"WITH l AS ({LEDGER_SQL})"
@@ -120,11 +122,12 @@ UNION ALL SELECT concat('C', c_custkey), concat('R', n_regionkey, '[chapter] > N
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "j8_enriched": f"""{L}, own AS (SELECT concat(chr(CAST(65 + p_partkey % 22 AS INT)), lpad(CAST(p_partkey AS VARCHAR), 2, '0')) AS category FROM part WHERE p_partkey < 100), ch(name, first, last) AS (VALUES {CHAPTER_ROWS}),
-k AS (SELECT case_id, run_id, code_complete, CASE WHEN code_complete LIKE 'NF-%' THEN code_complete ELSE split_part(code_complete, '.', 1) END AS category FROM l)
+    "j8_enriched": f"""{L}, own AS (SELECT concat(chr(CAST(65 + p_partkey % 22 AS INT)), CASE WHEN p_partkey < 10 THEN '0' ELSE '' END, p_partkey) AS category FROM part), ch(name, first, last) AS (VALUES {CHAPTER_ROWS}),
+c AS (SELECT case_id, run_id, CASE WHEN code_complete LIKE 'NF-%' THEN code_complete ELSE concat(left(code_complete, 1), CASE WHEN case_id < 10 THEN '0' ELSE '' END, case_id, '.', split_part(code_complete, '.', 2)) END AS code_complete FROM l),
+k AS (SELECT *, CASE WHEN code_complete LIKE 'NF-%' THEN code_complete ELSE split_part(code_complete, '.', 1) END AS category FROM c)
 SELECT case_id, run_id, code_complete, k.category, CASE WHEN {NF.replace('category', 'k.category')} THEN 'NF' WHEN own.category IS NOT NULL THEN 'own' ELSE coalesce(name, '') END AS chapter,
-  CASE WHEN {NF.replace('category', 'k.category')} THEN 0 WHEN own.category IS NOT NULL THEN 4 WHEN name IS NOT NULL THEN 2 END AS distance, coalesce(concat('own > ', own.category), '') AS path
-FROM k LEFT JOIN own ON own.category = k.category LEFT JOIN ch ON k.category NOT LIKE 'NF-%' AND k.category BETWEEN first AND last""".replace("coalesce(concat('own > ', own.category), '')", "coalesce('own > ' || own.category, '')"),
+  CASE WHEN {NF.replace('category', 'k.category')} THEN 0 WHEN own.category IS NOT NULL THEN 4 WHEN name IS NOT NULL THEN 2 END AS distance, coalesce('own > ' || own.category, '') AS path
+FROM k LEFT JOIN own ON own.category = k.category LEFT JOIN ch ON k.category NOT LIKE 'NF-%' AND left(k.category, 3) BETWEEN first AND last""",
     "j10_paths": f"WITH {ENTITIES} SELECT code, distance, chapter, path FROM e",
     "a13_index_statistics": f"WITH {ENTITIES} SELECT kind, count(*) AS n, count(*) FILTER (title <> '') AS n_titled FROM e GROUP BY kind",
     "j11_expanded": """WITH s AS (SELECT concat('S', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '.1' ELSE '' END) AS code, s_suppkey AS k FROM supplier), c AS (SELECT code FROM s UNION SELECT concat(code, '.0') FROM s WHERE k % 10 = 1)
@@ -141,5 +144,5 @@ SELECT p_partkey AS row_id, [code, 'N/A'] AS codes, concat(upper(p_name), ' →
 SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN concat('```json', chr(10), x, chr(10), '```') ELSE regexp_replace(x, '^\\s+|\\s+$', '', 'g') END AS channel, substring(x, 1, 40) AS clipped FROM c""",
     "f19_code_lists": f"""{L} SELECT case_id, run_id, concat('["', split_part(code_complete, '.', 1), '", "Unknown", "', match_type, '"]') AS codes, concat('"', split_part(code_complete, '.', 1), '"') AS truth,
   concat('["', code_complete, '", "', match_type, '"]') AS chapters FROM l""",
-    "v4_cited_sources": """SELECT page_id % 100 AS query_id, string_agg(n, ', ' ORDER BY n) AS sources FROM (SELECT DISTINCT page_id % 100 AS page_id, regexp_replace(regexp_replace(url, '^.*/', ''), '\\.[A-Za-z0-9]+$', '') AS n FROM pages WHERE url IS NOT NULL) GROUP BY 1""",
+    "v4_cited_sources": """SELECT query_id, string_agg(n, ', ' ORDER BY n) AS sources FROM (SELECT DISTINCT page_id // 20 AS query_id, regexp_replace(regexp_replace(url, '^.*/', ''), '\\.[A-Za-z0-9]+$', '') AS n FROM pages WHERE url IS NOT NULL) GROUP BY 1""",
 }
