@@ -3,7 +3,8 @@
 Two equal 200-byte strings have the same anchor (anchors.py), at the same distance from their start. So the windows on an anchor that
 occurs again are cut into two cells by that distance; the windows of a cell all hold the same bytes beside the anchor, its core,
 and windows can only be equal if their cores are. The segments of one core are a group. Segments that are equal whole count as
-one, and the suffixes of distinct segments are sorted by external induction (suffix_sort.py): neighbours that share 200 bytes are repeats.
+one, and the suffixes of distinct segments are sorted by external induction (suffix_sort.py), which carries what neighbours share: those
+that share 200 bytes are repeats.
 
 A group of many distinct segments (a passage in a third of all documents, amid different text) is never sorted in one task: its cells are
 halved, which makes their cores longer, and the segments go on to the next round by those; in a cell of one window all are equal.
@@ -23,12 +24,14 @@ from .anchors import anchors
 from .exchange import SEND, Packed, Texts, answer, expand, gathered, met_again, pack_texts, read, rows_of, scatter, squeeze
 from .hashing import P_BYTE, SYMBOL, U, between, mix, prefix
 from .shared import materialise, parts_for
-from .suffix_sort import common_at_least, suffix_array
+from .suffix_sort import Scratch, passes, sorted_suffixes
 
 LEVEL = 32
 BLOCK = 2 << 20
 #: Bytes of distinct segments that are sorted at once, and that one group may have before its cells are halved.
 SHARD, GROUP = 6 << 20, 4 << 20
+#: Bytes that one sort holds in memory; a shard of SHARD bytes needs about twelve times as many, so its queues lie in files.
+MEMORY = 4 << 20
 #: The place of a segment whose repeats are known.
 TOLD = -1
 FIELDS = ["bucket", "depth", "keys", "anchors", "cells", "lengths", "times", "blocks", "places", "texts"]
@@ -36,20 +39,23 @@ KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
 SCHEMA = "bucket int, depth int, keys binary, anchors binary, cells binary, lengths binary, times binary, blocks binary, places binary, texts binary"
 
 
-def shard_marks(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each distinct segment: which of its windows also start in another of these segments, or elsewhere in it."""
-    raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
+def shard_marks(segments: list[bytes], length: int, scratch: Scratch) -> list[np.ndarray]:
+    """For each distinct segment: which of its windows also start in another of these segments, or elsewhere in it.
+
+    The text, the queues and all that grows with them lie in scratch files beyond the scratch's budget."""
     lengths = np.array([len(x) + 1 for x in segments])
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    text = raw.astype(np.int16) + 1
-    text[begin[1:] - 1] = 0
-    ordered = suffix_array(text, 257)
-    room = np.repeat(begin[1:] - 1, lengths) - np.arange(len(raw))
-    near = common_at_least(raw, ordered, room, length)
-    flagged = np.zeros(len(raw), bool)
-    flagged[ordered[1:][near]] = True
-    flagged[ordered[:-1][near]] = True
-    return [flagged[begin[k] : begin[k] + len(x) - length + 1] for k, x in enumerate(segments)]
+    text, flagged = scratch.array(int(begin[-1]), np.int16), scratch.array(int(begin[-1]), bool)
+    for a, x in zip(begin.tolist(), segments, strict=False):
+        text[a : a + len(x)] = np.frombuffer(x, np.uint8)
+        text[a : a + len(x)] += 1
+    ordered, beside = sorted_suffixes(text, 257, scratch, length)
+    for p in passes(len(ordered) - 1):
+        near = p.start + np.flatnonzero(beside[p.start + 1 : p.stop + 1] >= length)
+        a, b = ordered[near], ordered[near + 1]
+        inside = np.minimum(*(begin[np.searchsorted(begin, x, "right")] - 1 - x for x in (a, b))) >= length
+        flagged[a[inside]] = flagged[b[inside]] = True
+    return [flagged[begin[k] : begin[k] + max(0, len(x) - length + 1)] for k, x in enumerate(segments)]
 
 
 def cells_of(depth: int, widest: int) -> np.ndarray:
@@ -203,7 +209,7 @@ def repeated_spans(packed: Packed, length: int) -> DataFrame:
         size = 0
 
         def sort():
-            for (text, place), mark in zip(some, shard_marks([t for t, _ in some], length), strict=True):
+            for (text, place), mark in zip(some, shard_marks([t for t, _ in some], length, Scratch(MEMORY)), strict=True):
                 if place[0] != TOLD and mark.any():
                     step = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
                     told.extend((place[0], place[1] + a, place[1] + b + length - 1) for a, b in zip(step[::2].tolist(), step[1::2].tolist(), strict=True))

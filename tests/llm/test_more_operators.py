@@ -194,7 +194,7 @@ def test_suffix_array_larger_than_memory():
     block = gen.integers(0, 30, 40_000)
     text = np.concatenate([block, gen.integers(0, 30, 20_000), block]).astype(np.int16)
     scratch = suffix_sort.Scratch(50_000)
-    got = suffix_sort._sorted(text, 30, scratch)
+    got = suffix_sort.sorted_suffixes(text, 30, scratch, 200)[0]
     assert scratch.in_files > 5
     assert (got == suffix_sort.suffix_array(text, 30)).all()
     raw = bytes(text.astype(np.uint8))
@@ -202,6 +202,46 @@ def test_suffix_array_larger_than_memory():
         assert raw[a:] < raw[b:]
 
 
+@pytest.mark.parametrize("step, budget", [(None, 1 << 20), (8, 1 << 20), (8, 100)])
+def test_common_prefixes_by_brute_force(monkeypatch, step, budget):
+    if step:
+        monkeypatch.setattr(suffix_sort, "STEP", step)
+        monkeypatch.setattr(suffix_sort, "PASS", step - 1)
+    gen = np.random.default_rng(6)
+    for round_ in range(150):
+        k, limit = int(gen.integers(1, 6)), int(gen.choice([1, 3, 200]))
+        text = np.tile(gen.integers(0, k, int(gen.integers(0, 70))), 1 + round_ % 3)
+        scratch = suffix_sort.Scratch(budget)
+        got, beside = suffix_sort.sorted_suffixes(text, k, scratch, limit)
+        own = text.tolist()
+        want = sorted(range(len(own)), key=lambda i: own[i:])
+        alike = lambda a, b: next((i for i, (x, y) in enumerate(zip(own[a:], own[b:], strict=False)) if x != y), min(len(own) - a, len(own) - b))
+        assert got.tolist() == want
+        assert beside.tolist() == [0][: len(own)] + [min(limit, alike(a, b)) for a, b in zip(want, want[1:], strict=False)]
+
+
+def test_queues_of_the_query_lie_in_files():
+    """A shard of the query's own size under the query's own budget; windows that repeat, counted one by one."""
+    gen = np.random.default_rng(9)
+    pool = [bytes(gen.integers(97, 101, 150).astype(np.uint8)) for _ in range(300)]
+    segments = list(dict.fromkeys(b"".join(pool[i] for i in gen.integers(0, 300, 3))[: int(gen.integers(200, 369))] for _ in range(4000)))
+    scratch = suffix_sort.Scratch(suffix_dedup.MEMORY)
+    marks = suffix_dedup.shard_marks(segments, 200, scratch)
+    assert sum(map(len, segments)) < suffix_dedup.SHARD and scratch.in_files > 10
+    assert scratch.left <= suffix_dedup.MEMORY
+    count = collections.Counter(x[i : i + 200] for x in segments for i in range(len(x) - 199))
+    for x, mark in zip(segments, marks, strict=True):
+        assert mark.tolist() == [count[x[i : i + 200]] > 1 for i in range(len(x) - 199)]
+
+
+def test_suffix_dedup_with_no_memory_for_queues(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMORY", 0)
+    rows = repeats()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(docs).collect())
+    assert got == sorted(removed_bytes(rows, 200))
+
+
 def test_words_of_like_structure_hash_apart():
     morse = [0]
     for _ in range(12):
