@@ -136,7 +136,7 @@ class Prefixes:
         symbols: what they induce; cut: where each symbol begins. A symbol's very first entry has no meaning."""
         self.step += 1
         head = np.minimum.accumulate(values)
-        out = np.zeros(len(at), np.uint16)
+        out = None
         if len(at):
             begins = cut[:-1]
             own = symbols[begins]
@@ -151,23 +151,23 @@ class Prefixes:
                 gap[begins] = 1
                 level = np.frexp(gap)[1] - 1
                 table = np.empty((int(level.max()) + 1, len(values)), np.uint16)  # least of 2**row values from here
-                table[0] = values
+                table[0] = row = values
                 for k in range(1, len(table)):
-                    half, n = 1 << (k - 1), len(values) - (1 << k) + 1
-                    np.minimum(table[k - 1, :n], table[k - 1, half : half + n], out=table[k, :n])
+                    half = 1 << (k - 1)
+                    row = np.minimum(row[:-half], row[half:], out=table[k, : len(row) - half])
                 out = np.minimum(table[level, at - gap + 1], table[level, at - (1 << level) + 1])
                 out[begins] = firsts
             back = np.full(len(values) + 1, self.limit, np.uint16)
             np.minimum.accumulate(values[::-1], out=back[-2::-1])
             self.last[own] = self.step
             self.tail[own] = back[at[cut[1:] - 1] + 1]
-            out = np.minimum(out + 1, self.limit)
+            out += out < self.limit
         least = head[-1]
         while self.held and self.least[self.held - 1] >= least:
             self.held -= 1
         self.ids[self.held], self.least[self.held] = self.step, least
         self.held += 1
-        return out
+        return np.zeros(0, np.uint16) if out is None else out
 
 
 def shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, limit: int) -> np.ndarray:
@@ -344,7 +344,7 @@ def sorted_suffixes(text: np.ndarray, symbols: int, scratch: Scratch, limit: int
         seeds = kept
         inner = beside = None
         if name + 1 < m:
-            inner, beside = sorted_suffixes(names, name + 1, scratch, limit)
+            inner, beside = sorted_suffixes(names, name + 1, scratch, (limit + 1) // 2)  # a name is two symbols or more
             for p in passes(m):
                 kept[p] = places[inner[p]]
         scratch.give_back(names)
