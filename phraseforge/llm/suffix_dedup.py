@@ -29,9 +29,11 @@ from .suffix_sort import Scratch, passes, sorted_suffixes
 LEVEL = 32
 BLOCK = 2 << 20
 #: Bytes of distinct segments that are sorted at once, and that one group may have before its cells are halved.
-SHARD, GROUP = 12 << 20, 4 << 20
+SHARD, GROUP = 6 << 20, 4 << 20
 #: Bytes that one sort holds in memory; a shard of SHARD bytes needs about twelve times as many, so its queues lie in files.
 MEMORY = 4 << 20
+#: Names that end a sort's recursion in memory, at most.
+BASE = 1 << 20
 #: The place of a segment whose repeats are known.
 TOLD = -1
 FIELDS = ["bucket", "depth", "keys", "anchors", "cells", "lengths", "times", "blocks", "places", "texts"]
@@ -81,7 +83,7 @@ def cut(raw: bytes, sums: np.ndarray, anchor: np.ndarray, nearest: np.ndarray, f
 
 def repeated_spans(packed: Packed, length: int) -> DataFrame:
     """(block, places): begin << 32 | end of bytes, within the block, that lie in strings of `length` bytes that occur again."""
-    n_buckets = parts_for(packed.n_bytes, 12 << 20, 4)
+    n_buckets = parts_for(packed.n_bytes, 8 << 20, 4)
     parts = packed.parts
 
     def windows_of(texts: Texts):
@@ -209,7 +211,7 @@ def repeated_spans(packed: Packed, length: int) -> DataFrame:
         size = 0
 
         def sort():
-            for (text, place), mark in zip(some, shard_marks([t for t, _ in some], length, Scratch(MEMORY)), strict=True):
+            for (text, place), mark in zip(some, shard_marks([t for t, _ in some], length, Scratch(MEMORY, BASE)), strict=True):
                 if place[0] != TOLD and mark.any():
                     step = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
                     told.extend((place[0], place[1] + a, place[1] + b + length - 1) for a, b in zip(step[::2].tolist(), step[1::2].tolist(), strict=True))

@@ -26,10 +26,12 @@ PASS = STEP << 2
 
 
 class Scratch:
-    """Arrays in memory while all of them fit a budget of bytes, else in unlinked files in the executor's own spill folder."""
+    """Arrays in memory while all of them fit a budget of bytes, else in unlinked files in the executor's own spill folder.
 
-    def __init__(self, budget: int):
-        self.left = budget
+    base: strings of at most so many names end the recursion, about 40 bytes a name in memory."""
+
+    def __init__(self, budget: int, base: int = 0):
+        self.left, self.base = budget, base
         self.in_files = 0
 
     def array(self, n: int, kind) -> np.ndarray:
@@ -291,6 +293,24 @@ def induce(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, symbols: int, scr
     return out, beside[:n]
 
 
+def in_memory(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a string short enough for memory, by doubling."""
+    n, k, key = len(names), 1, names.astype(np.int64)
+    while True:
+        order = key.argsort()
+        key = key[order]
+        rank = np.zeros(n, np.int64)
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1])
+        if rank[order[-1]] == n - 1:
+            break
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
+        k *= 2
+    out = np.zeros(n, np.uint16)
+    out[1:] = shared(names, order[:-1], order[1:], np.zeros(n - 1, np.int64), limit)
+    return order, out
+
+
 def suffix_array(text: np.ndarray, symbols: int, budget: int = 256 << 20) -> np.ndarray:
     """The suffixes of text (integers from 0 to symbols - 1; it may itself be a mapped file) in order. budget: bytes of all arrays that
     grow with the text and may be held in memory, at all levels together; what is beyond lies in scratch files."""
@@ -344,7 +364,8 @@ def sorted_suffixes(text: np.ndarray, symbols: int, scratch: Scratch, limit: int
         seeds = kept
         inner = beside = None
         if name + 1 < m:
-            inner, beside = sorted_suffixes(names, name + 1, scratch, (limit + 1) // 2)  # a name is two symbols or more
+            few = (limit + 1) // 2  # a name is two symbols or more
+            inner, beside = in_memory(names, few) if m <= scratch.base else sorted_suffixes(names, name + 1, scratch, few)
             for p in passes(m):
                 kept[p] = places[inner[p]]
         scratch.give_back(names)
@@ -354,7 +375,7 @@ def sorted_suffixes(text: np.ndarray, symbols: int, scratch: Scratch, limit: int
             if inner is not None:
                 known = places[inner[p.start + 1 : p.stop + 1] + beside[p.start + 1 : p.stop + 1].astype(np.int64)] - b
             values[p.start + 1 : p.stop + 1] = shared(text, a, b, known, limit)
-        if inner is not None:
+        if inner is not None and m > scratch.base:
             scratch.give_back(inner, beside)
         scratch.give_back(places)
     scratch.give_back(star)

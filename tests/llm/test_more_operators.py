@@ -202,8 +202,8 @@ def test_suffix_array_larger_than_memory():
         assert raw[a:] < raw[b:]
 
 
-@pytest.mark.parametrize("step, budget", [(None, 1 << 20), (8, 1 << 20), (8, 100)])
-def test_common_prefixes_by_brute_force(monkeypatch, step, budget):
+@pytest.mark.parametrize("step, budget, base", [(None, 1 << 20, 0), (8, 1 << 20, 0), (8, 100, 0), (None, 100, 12), (8, 100, 1000)])
+def test_common_prefixes_by_brute_force(monkeypatch, step, budget, base):
     if step:
         monkeypatch.setattr(suffix_sort, "STEP", step)
         monkeypatch.setattr(suffix_sort, "PASS", step - 1)
@@ -211,7 +211,7 @@ def test_common_prefixes_by_brute_force(monkeypatch, step, budget):
     for round_ in range(150):
         k, limit = int(gen.integers(1, 6)), int(gen.choice([1, 3, 200]))
         text = np.tile(gen.integers(0, k, int(gen.integers(0, 70))), 1 + round_ % 3)
-        scratch = suffix_sort.Scratch(budget)
+        scratch = suffix_sort.Scratch(budget, base)
         got, beside = suffix_sort.sorted_suffixes(text, k, scratch, limit)
         own = text.tolist()
         want = sorted(range(len(own)), key=lambda i: own[i:])
@@ -225,7 +225,7 @@ def test_queues_of_the_query_lie_in_files():
     gen = np.random.default_rng(9)
     pool = [bytes(gen.integers(97, 101, 150).astype(np.uint8)) for _ in range(300)]
     segments = list(dict.fromkeys(b"".join(pool[i] for i in gen.integers(0, 300, 3))[: int(gen.integers(200, 369))] for _ in range(4000)))
-    scratch = suffix_sort.Scratch(suffix_dedup.MEMORY)
+    scratch = suffix_sort.Scratch(suffix_dedup.MEMORY, suffix_dedup.BASE)
     marks = suffix_dedup.shard_marks(segments, 200, scratch)
     assert sum(map(len, segments)) < suffix_dedup.SHARD and scratch.in_files > 10
     assert scratch.left <= suffix_dedup.MEMORY
@@ -236,6 +236,7 @@ def test_queues_of_the_query_lie_in_files():
 
 def test_suffix_dedup_with_no_memory_for_queues(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MEMORY", 0)
+    monkeypatch.setattr(suffix_dedup, "BASE", 0)
     rows = repeats()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(docs).collect())
