@@ -303,7 +303,7 @@ def spans_of(block: Block, model: Crf) -> dict[int, tuple[list, list]]:
 
 
 def find_personal(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans.
+    """doc_id, n_email, n_ip, n_card, n_phone (of the base spans, as base_sha256), base_sha256, spans (all), n_added.
 
     Null text is empty: no spans. Very long texts are read whole. Each row is judged alone, equal rows alike; rows without
     doc_id too. Other columns are not read. An empty table gives no rows."""
@@ -314,11 +314,12 @@ def find_personal(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
         for block in blocks(batches):
             spans = spans_of(block, shared.value)
             both = [spans.get(r, ([], [])) for r in range(len(block.batch))]
-            counts = [pa.array([sum(s[0] == k for s in every) for _, every in both], pa.int64()) for k in KINDS]
+            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in both], pa.int64()) for k in KINDS]
+            added = pa.array([len(every) - len(base) for base, every in both], pa.int64())
             hashes = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in both], pa.string())
-            yield pa.RecordBatch.from_arrays([block.batch.column("doc_id"), *counts, hashes, pa.array([joined(every) for _, every in both], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([block.batch.column("doc_id"), *counts, hashes, pa.array([joined(every) for _, every in both], pa.string()), added], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
