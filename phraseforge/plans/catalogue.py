@@ -69,17 +69,20 @@ def _new_prefixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.prefixed_ids(part, known)
 
 
-def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _looked_up(spark: SparkSession, sf_dir: str, one_label: bool = False) -> DataFrame:
+    """Codes of six digits repeat beyond a million parts, and with them the rows of their cases, as in the SQL; one_label: the first part's
+    label alone, a row a case and run."""
     digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
     code = F.concat(F.chr(F.lit(65) + F.col("s_suppkey") % 22), digits(F.col("s_suppkey") % 100, 2))
     entities = table(spark, sf_dir, "supplier").groupBy(code.alias("code")).agg(F.min("s_name").alias("title"))
-    ids = table(spark, sf_dir, "part").where("p_partkey % 12 = 0").select(F.concat(F.lit("NF-"), digits(F.col("p_partkey"), 6)).alias("code"), F.col("p_name").alias("label"))
+    ids = table(spark, sf_dir, "part").where("p_partkey % 12 = 0").select(F.concat(F.lit("NF-"), digits(F.col("p_partkey"), 6)).alias("code"), F.col("p_name").alias("label"), F.col("p_partkey").alias("pos"))
+    ids = ids.groupBy("code").agg(F.min_by("label", "pos").alias("label")) if one_label else ids
     return lookup.reverse_lookup(ledger(spark, sf_dir).select("case_id", "run_id", "category", "consistency"), entities, ids)
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gated(spark: SparkSession, sf_dir: str, one_label: bool = False) -> DataFrame:
     phrase = F.when(F.col("case_id") % 50 != 0, F.col("case_id").cast("string"))
-    return lookup.gate_verdicts(_looked_up(spark, sf_dir), phrase, F.col("consistency")).select("case_id", "run_id", "gate_reason", "verdict")
+    return lookup.gate_verdicts(_looked_up(spark, sf_dir, one_label), phrase, F.col("consistency")).select("case_id", "run_id", "gate_reason", "verdict")
 
 
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "v5_conversation_json": lambda s, d: linking.conversations_as_json(table(s, d, "conversations").where("conv_id is not null")),
     "a7_source_shares": lambda s, d: lookup.source_shares(ledger(s, d)),
     "a8_cascade_details": _cascade_details,
-    "a9_verdicts": lambda s, d: lookup.verdict_summary(_gated(s, d)),
+    "a9_verdicts": lambda s, d: lookup.verdict_summary(_gated(s, d, one_label=True)),
     "t5_violation_codes": lambda s, d: stability.violation_codes(ledger(s, d), _stable(s, d)),
     "t6_verdicts_by_run": lambda s, d: stability.verdicts_by_run(_cells(s, d)),
     "t7_level_shares": lambda s, d: stability.level_shares(ledger(s, d)),
