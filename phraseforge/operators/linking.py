@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +89,69 @@ def walk_up(nodes: DataFrame, most: int = 10) -> DataFrame:
 
 
 def unit(vector):
-    """The vector by its own length; a vector of zeros stays."""
+    """The vector by its own length, which is summed once a vector; a vector of zeros stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k most similar corpus rows by cosine; a stated query set against all rows."""
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    c = corpus.select("vec_id", unit(F.col("vector")).alias("c"))
-    pairs = c.join(q, how="cross")
-    dot = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    by = lambda n: F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return F.get(F.transform(F.array(norm), by), F.lit(0))
+
+
+def matrix(column: pa.Array, width: int = -1) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def best_of_chunks(asked: pa.Table, known: pa.Table, k: int, cells: int = 1 << 21) -> pa.Table:
+    """(query_id, vec_id, score): of two chunks the k best known rows of each query; ties by vec_id, null scores last.
+
+    Vectors of unlike lengths, and null ones, have no score. Scores are rounded to six places, halves away from zero, before they
+    are compared; only those that can round to the k-th best are sorted."""
+    known = known.take(pc.sort_indices(known.column("vec_id").combine_chunks(), null_placement="at_start"))
+    sizes = [pc.fill_null(pc.list_value_length(t.column("vector")), -1).to_numpy() for t in (asked, known)]
+    who, what, scores = [], [], []
+    for size in np.unique(sizes[0]):
+        mine, theirs, others = np.flatnonzero(sizes[0] == size), np.flatnonzero((sizes[1] == size) & (size >= 0)), np.flatnonzero((sizes[1] != size) | (size < 0))
+        if len(theirs):
+            corpus, vectors = (matrix(t.column("vector").take(pa.array(at)), size) for t, at in ((known, theirs), (asked, mine)))
+            step = max(1, cells // len(theirs))
+            for at in range(0, len(mine), step):
+                near = vectors[at : at + step] @ corpus.T
+                key = np.where(np.isnan(near), np.inf, near)
+                least = np.partition(key, max(len(theirs) - k, 0), axis=1)[:, max(len(theirs) - k, 0)]
+                rows, columns = np.nonzero(key >= least[:, None] - 2e-6)
+                value = near[rows, columns]
+                value = np.sign(value) * np.floor(np.abs(value) * 1e6 + 0.5) / 1e6
+                order = np.lexsort((columns, -np.where(np.isnan(value), np.inf, value), rows))
+                first = np.searchsorted(rows, rows)  # where the query's own begin
+                order = order[np.arange(len(rows)) - first < k]
+                who.append(mine[at + rows[order]])
+                what.append(theirs[columns[order]])
+                scores.append(value[order])
+        few = others[: max(k - len(theirs), 0)]
+        who.append(np.repeat(mine, len(few)))
+        what.append(np.tile(few, len(mine)))
+        scores.append(np.full(len(mine) * len(few), -2.0))  # no cosine is that low
+    joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, what, scores)]
+    score = pa.array(joined[2], pa.float64(), mask=joined[2] == -2.0)
+    return pa.table({"query_id": asked.column("query_id").take(pa.array(joined[0])), "vec_id": known.column("vec_id").take(pa.array(joined[1])), "score": score})
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 5, n_asked: int = 8192, n_known: int = 8192) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k most similar corpus rows by cosine; a stated query set against all rows.
+
+    Both sides are dealt by hash into chunks of about n_asked and n_known rows, and each pair of chunks is one group, whose scores are
+    matrix products and which returns k rows a query. All pairs are scored; a task holds two chunks, whatever the tables hold."""
+    chunks = lambda df, size: max(1, math.ceil(df.count() / size))
+    a, b = chunks(queries, n_asked), chunks(corpus, n_known)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = lambda: unit(F.col("vector")).cast("array<double>").alias("vector")
+    ours = queries.select("query_id", vector(), deal("query_id", a).alias("a")).select("*", every(b).alias("b"))
+    theirs = corpus.select("vec_id", vector(), deal("vec_id", b).alias("b")).select("*", every(a).alias("a"))
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["vec_id"]
+    deal_to = lambda df: df.repartition(a * b, "a", "b").groupBy("a", "b")
+    met = deal_to(ours).cogroup(deal_to(theirs)).applyInArrow(lambda q, c: best_of_chunks(q, c, k), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", F.round(dot, 6).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def conversations_as_json(turns: DataFrame) -> DataFrame:

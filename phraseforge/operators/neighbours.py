@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import kept
-from .linking import nearest, unit
+from .linking import matrix, nearest, unit
 
 #: Rows of a list, and queries, in a task.
 CHUNK = 20_000
@@ -46,11 +46,6 @@ def centroids_of(sample: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
     return out
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def ranked_lists(rows: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
     """rows (..., vector) with lists: the `most` nearest ones, nearest first."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # some thousand vectors at most
