@@ -40,9 +40,19 @@ def write_catalogue(entities: DataFrame, path: str) -> None:
     entities.write.json(path)
 
 
+def in_result_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The columns in order, rows by query and iteration; numbers sort as numbers.
+
+    Sort keys are columns, made once a row and not at each comparison; only what looks like a number is cast, as a failed cast costs
+    an exception."""
+    number = lambda c: F.when(F.col(c).cast("string").rlike(r"^[\s\p{Cntrl}]*[+-]?[0-9.]+[\s\p{Cntrl}]*$"), F.col(c).try_cast("bigint"))
+    keys = {"sort_number": number("query_id"), "sort_text": F.col("query_id").cast("string"), "sort_iteration": number("iteration")}
+    return rows.withColumns(keys).orderBy(*keys).select(*order)
+
+
 def write_results(rows: DataFrame, path: str, order: list[str]) -> None:
-    """CSV in a fixed order of columns, by query and iteration; numbers sort as numbers."""
-    rows.orderBy(F.col("query_id").try_cast("bigint"), F.col("query_id").cast("string"), F.col("iteration").try_cast("bigint")).select(*order).write.csv(path, header=True, escape='"')
+    """CSV in a fixed order of columns, by query and iteration."""
+    in_result_order(rows, order).write.csv(path, header=True, escape='"')
 
 
 def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
