@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,21 +74,28 @@ def token_sorted(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits at a time."""
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & where.get(ch, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * longest common subsequence / (lengths of both); two empty texts: 100. For small candidate sets: O(len a * len b)."""
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
-    zeros = F.transform(F.concat(F.array(F.lit("")), F.filter(letters_b, lambda x: x != "")), lambda x: F.lit(0))
-
-    def row(before: Column, ch: Column) -> Column:
-        # best of the cell above, the cell left of it, and the diagonal plus one on a match
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(before) - 1),
-            F.array(F.lit(0)),
-            lambda now, j: F.array_append(now, F.when(F.substring(b, j, F.lit(1)) == ch, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(now, j - 1)))),
-        )
-
-    lcs = F.element_at(F.aggregate(F.filter(letters_a, lambda x: x != ""), zeros, row), -1)
-    return F.when((F.length(a) == 0) & (F.length(b) == 0), 100.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(200.0 * lcs / (F.length(a) + F.length(b)))
+    """200 * longest common subsequence / (lengths of both); two empty texts: 100; null with null texts."""
+
+    @F.pandas_udf("double")
+    def score(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        one = lambda x, y: None if x is None or y is None else 200.0 * lcs(x, y) / (len(x) + len(y)) if x or y else 100.0
+        return pd.Series([one(x, y) for x, y in zip(ours, theirs)], dtype=float)
+
+    return score(a, b)
 
 
 #: Chapters with their first and last three-character code.

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lcs
 from ..sources.scratch import kept
 from . import grams
 
@@ -27,19 +28,6 @@ ASKED, KNOWN = 500, 4000
 PAIRS = "phrase string, term string, pos long, scorer string, score double"
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
