@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def best_title(long_title: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(long_title, F.lit("")), title, F.lit(""))
 
@@ -59,18 +66,16 @@ def extract_bot_text(raw: Column) -> Column:
     """Lines after the first marker line, without blank and marker lines. Where nothing remains: the last of several paragraphs
     if thinking shows, else the text without marker lines, else the text itself."""
     raw = _full(raw)
-    lines = F.split(raw, "\n")
-    marks = lambda x: F.reduce(F.array(*map(F.lit, MARKERS)), F.lit(False), lambda found, m: found | strip(x).startswith(m))
-    seen = F.aggregate(
-        lines,
-        F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.struct((s["on"] | marks(x)).alias("on"), F.when(s["on"] & ~marks(x) & (strip(x) != ""), F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept")),
-    )
-    after = strip(F.array_join(seen["kept"], "\n"))
+    bare = F.transform(F.split(raw, "\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("bare")))
+    lines = F.transform(bare, lambda x: F.struct(x["line"].alias("line"), (x["bare"] != "").alias("full"), (x["bare"].startswith(MARKERS[0]) | x["bare"].startswith(MARKERS[1])).alias("mark")))
+    joined = lambda rows: strip(F.array_join(F.transform(rows, lambda x: x["line"]), "\n"))
+    first = lambda rows: F.array_position(F.transform(rows, lambda x: x["mark"]), F.lit(True))  # noqa: E731; from 1, 0 if there is none
+    after = lambda rows: bound(first(rows), lambda at: F.when(at > 0, joined(F.filter(rows, lambda x, i: (i >= at) & x["full"] & ~x["mark"]))).otherwise(""))
     paragraphs = F.filter(F.transform(F.split(raw, "\n\n"), strip), lambda x: x != "")
-    thinks = (raw.contains(THINKING[0]) | raw.contains(THINKING[1])) & (F.size(paragraphs) > 1)
-    plain = strip(F.array_join(F.filter(lines, lambda x: ~marks(x)), "\n"))
-    return F.when(after != "", after).when(thinks, F.element_at(paragraphs, -1)).when(plain != "", plain).otherwise(raw)
+    thinks = raw.contains(THINKING[0]) | raw.contains(THINKING[1])
+    plain = lambda rows: bound(joined(F.filter(rows, lambda x: ~x["mark"])), lambda x: F.when(x != "", x).otherwise(raw))
+    last = lambda rows: F.when(thinks, bound(paragraphs, lambda x: F.when(F.size(x) > 1, F.element_at(x, -1)).otherwise(plain(rows)))).otherwise(plain(rows))
+    return bound(lines, lambda rows: bound(after(rows), lambda x: F.when(x != "", x).otherwise(last(rows))))
 
 
 def parse_string_list(raw: Column, most: int = 5) -> Column:
@@ -126,14 +131,15 @@ def truncate_codes_in_json(raw: Column) -> Column:
 
     The other keys stay as they are written, since only the array's own text is replaced."""
     array = F.regexp_extract(raw, r'(?s)"icd_codes"\s*:\s*(\[[^\]]*\])', 1)
-    codes = F.transform(F.from_json(array, "array<string>"), truncate_any)
-    is_object = F.try_parse_json(raw).isNotNull() & (array != "")
-    at = F.position(array, raw)
-    swapped = F.concat(F.substring(raw, F.lit(1), at - 1), to_json_list(codes), F.substring(raw, at + F.length(array), F.length(raw)))
-    pieces = F.split(raw, '"')  # between quotation marks
-    code = lambda i: F.coalesce(F.get(pieces, i).rlike(r"^\w+\.\d+$"), F.lit(False))
-    cut = F.transform(pieces, lambda x, i: F.when((i > 0) & (i < F.size(pieces) - 1) & code(i) & ~code(i - 1), truncate_any(x)).otherwise(x))
-    return F.when(is_object, swapped).when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.array_join(cut, '"'))
+    codes = lambda text: bound(F.transform(F.from_json(text, "array<string>"), truncate_any), to_json_list)
+    around = lambda text, at: F.concat(F.substring(raw, F.lit(1), at - 1), codes(text), F.substring(raw, at + F.length(text), F.length(raw)))
+    swapped = bound(array, lambda text: F.when(text == "", raw).otherwise(bound(F.position(text, raw), lambda at: around(text, at))))
+    code = lambda x: F.coalesce(x.rlike(r"^\w+\.\d+$"), F.lit(False))
+    inner = lambda pieces, i: (i > 0) & (i < F.size(pieces) - 1)
+    cut = lambda pieces: F.transform(pieces, lambda x, i: F.when(inner(pieces, i) & code(x) & ~code(F.get(pieces, i - 1)), truncate_any(x)).otherwise(x))
+    other = F.array_join(bound(F.split(raw, '"'), cut), '"')  # pieces between quotation marks
+    may_be = raw.rlike(r'^[\s\x{FEFF}]*[\[{"+.0-9tfnNI/-]')  # what begins otherwise is no JSON, and costs no exception
+    return F.when(may_be & F.try_parse_json(raw).isNotNull(), swapped).otherwise(other)
 
 
 def clip(raw: Column, most: int = 500) -> Column:
