@@ -74,16 +74,22 @@ def token_sorted(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
+def letters_at(text: str) -> dict[str, int]:
+    """Of each character the places as bits."""
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         where[ch] = where.get(ch, 0) | 1 << i
+    return where
+
+
+def lcs(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of bits at a time; where: letters_at(a), if known."""
+    where = letters_at(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if hit := row & where.get(ch, 0):
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 

@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lcs
+from ..functions.text import lcs, letters_at
 from ..sources.scratch import kept
 from . import grams
 
-#: Distinct phrases and terms of a group.
+#: Distinct phrases and terms of a group; where terms are few, phrases of a group, and groups from which it may hold that many.
 ASKED, KNOWN = 500, 4000
+MANY, GROUPS = 20_000, 64
 PAIRS = "phrase string, term string, pos long, scorer string, score double"
 
 
@@ -48,15 +49,20 @@ def token_set(a: str, b: str) -> float:
     return max(ratio(left, right), ratio(shared, left) if both else 0.0, ratio(shared, right) if both else 0.0)
 
 
-def partial(a: str, b: str) -> float:
+def partial(a: str, b: str, least: float = 0.0) -> float:
     """Windows at the ends may be shorter than the shorter text. As a window slides, how many of its letters the shorter text can match
-    is kept up to date; only windows whose bound is above the best score so far are compared."""
+    is kept up to date; only windows whose bound is above the best score so far are compared. No window shares more than the whole
+    texts do. What scores no more than `least` may be given as 0."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if not a:
         return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    spare, common, best = Counter(a), 0, 0.0
+    where = letters_at(a)
+    shared = lcs(a, b, where)
+    if 200.0 * shared / (len(a) + shared) <= least:  # a window holds what it shares
+        return 0.0
+    spare, common, best = Counter(a), 0, least
     for end in range(1, len(b) + len(a)):
         if end <= len(b):
             spare[b[end - 1]] -= 1
@@ -66,12 +72,13 @@ def partial(a: str, b: str) -> float:
             common -= spare[gone] >= 0
             spare[gone] += 1
         start, stop = max(end - len(a), 0), min(end, len(b))
-        if 200.0 * common / (len(a) + stop - start) > best + 1e-12:
-            best = max(best, ratio(a, b[start:stop]))
-    return best
+        both = len(a) + stop - start
+        if 200.0 * min(common, shared) / both > best + 1e-12:
+            best = max(best, 200.0 * lcs(a, b[start:stop], where) / both)
+    return best if best > least else 0.0
 
 
-def partial_token(a: str, b: str) -> float:
+def partial_token(a: str, b: str, least: float = 0.0) -> float:
     """The best of the sorted words and, where no word is shared, of the distinct words; a shared word is a full match."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
@@ -79,18 +86,18 @@ def partial_token(a: str, b: str) -> float:
     if x & y:
         return 100.0
     whole, once = [[" ".join(sorted(w)) for w in both] for both in ((a.split(), b.split()), (x, y))]
-    return max(partial(*pair) for pair in ((whole,) if whole == once else (whole, once)))
+    return max(partial(*pair, least) for pair in ((whole,) if whole == once else (whole, once)))
 
 
-def mixed(a: str, b: str) -> float:
-    """The published weights: words count 0.95; parts 0.9, or 0.6 beyond 8 times the length."""
+def mixed(a: str, b: str, least: float = 0.0) -> float:
+    """The published weights: words count 0.95; parts 0.9, or 0.6 beyond 8 times the length. Exact above `least`, at most that otherwise."""
     short, long = sorted((len(a), len(b)))
     if not short:
         return 0.0
     if long / short < 1.5:
         return max(ratio(a, b), 0.95 * max(token_sort(a, b), token_set(a, b)))
     weight = 0.9 if long / short <= 8 else 0.6
-    return max(ratio(a, b), weight * partial(a, b), 0.95 * weight * partial_token(a, b))
+    return max(ratio(a, b), weight * partial(a, b, least / weight), 0.95 * weight * partial_token(a, b, least / (0.95 * weight)))
 
 
 SCORERS = {"token_sort": token_sort, "token_set": token_set, "mixed": mixed, "partial": partial}
@@ -156,13 +163,19 @@ def score_block(phrases: list[str], terms: list[tuple[int, str]], scorers: list[
             for i in order[: np.searchsorted(-most[order], -threshold + 1e-9, side="right")]:
                 if len(best) == k and most[i] < -best[-1][0] - 1e-9:
                     break
-                value = SCORERS[scorer](phrase, texts[i])
+                value = SCORERS[scorer](phrase, texts[i], threshold - 1e-6) if scorer in ("mixed", "partial") else SCORERS[scorer](phrase, texts[i])
                 if value >= threshold:
                     best = sorted([*best, (-value, int(pos[i]), int(i))])[:k]
             for value, at, i in best:
                 yield phrase, texts[i], at, scorer, -value
 
 
+def asked_groups(n_phrases: int, n_terms: int) -> int:
+    """Into how many chunks phrases are dealt: of ASKED, or, beyond GROUPS of them, of as many as give no more pairs, up to MANY."""
+    most = max(1, math.ceil(n_phrases / ASKED))
+    return min(most, max(GROUPS, math.ceil(n_phrases * min(n_terms, KNOWN) / (ASKED * KNOWN)), math.ceil(n_phrases / MANY)))
+
+
 def similar(phrases: DataFrame, terms: DataFrame, scorers: list[str], threshold: float, k: int, shortest: int = 0) -> DataFrame:
     """(phrase, term, pos, scorer, score, rank): for each distinct non-empty phrase and scorer the k best of terms (term, pos).
 
@@ -170,8 +183,9 @@ def similar(phrases: DataFrame, terms: DataFrame, scorers: list[str], threshold:
     group. Terms shorter than `shortest` stay out; of equal terms the first by pos counts."""
     asked = phrases.where("phrase <> ''").select("phrase").distinct()
     known = terms.where(F.length("term") >= max(shortest, 1)).groupBy("term").agg(F.min("pos").cast("long").alias("pos"))
-    chunks = lambda df, size: max(1, math.ceil(df.count() / size))
-    n_asked, n_known = chunks(asked, ASKED), chunks(known, KNOWN)
+    n_phrases, n_terms = asked.count(), known.count()
+    n_known = max(1, math.ceil(n_terms / KNOWN))
+    n_asked = asked_groups(n_phrases, n_terms)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("phrase", deal("phrase", n_asked).alias("a"), every(n_known).alias("b"))
